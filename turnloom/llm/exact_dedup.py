@@ -28,7 +28,7 @@ def frequent_digests(digests: DataFrame, column: str) -> DataFrame:
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate({column}, {SKETCH_ITEMS})").alias("sketch"))
     )
-    top = first.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {HEAVY_DIGESTS})").alias("top"))
+    top = first.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {HEAVY_DIGESTS})").alias("top"))
     return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias(column)).where(F.col(column).isNotNull())
 
 
