@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from ._tables import stash
 
 #: Width of the error bound in standard deviations; rows of a query block; seed of the rotation.
-BOUND, BLOCK, SEED = 3.5, 4096, 29
-#: Index rows compared with the queries at once inside a task.
-ROWS = 2048
+BOUND, BLOCK, SEED = 3.0, 4096, 29
+#: Index rows compared with the queries at once inside a task; pairs reranked at once.
+ROWS, PAIRS = 512, 1 << 15
 
 
 def rotation(d):
@@ -70,6 +70,10 @@ def _search(block, d, k):
         floor = np.full(n, -np.inf)
 
         def rerank(rows, cols, ids, vectors, norms):
+            for s in range(0, len(rows), PAIRS):
+                rerank_some(rows[s : s + PAIRS], cols[s : s + PAIRS], ids, vectors, norms)
+
+        def rerank_some(rows, cols, ids, vectors, norms):
             scores = np.einsum("ij,ij->i", vectors[rows], queries[cols]) / (norms[rows] * query_norms[cols])
             order = np.argsort(cols, kind="stable")
             rows, cols, scores = rows[order], cols[order], scores[order]
