@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, consistent by type, distinct and coreferent.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, payment-card numbers, IBANs,
+Detected: e-mail addresses, phone numbers, IPv4 addresses, Luhn-correct card numbers, IBANs,
 credentials (access keys, passwords and tokens after their name, long hex strings) and
 names after an honorific, with later mentions of the same name in the text.
 
@@ -153,8 +153,7 @@ class Surrogates:
         return "".join(next(source) if c.isdigit() else c for c in entity)
 
     def card(self, entity, tweak):
-        valid = luhn([c for c in entity if c.isdigit()])
-        return self.digits_of(entity, tweak, 1, lambda d: luhn(d) == valid)
+        return self.digits_of(entity, tweak, 1, luhn)
 
     def phone(self, entity, tweak):
         digits = [c for c in entity if c.isdigit()]
@@ -217,6 +216,8 @@ def entities(text, finder):
     """(kind, begin, end) of the entities of a text, in order; names as single words, later mentions too."""
     found, names, honorific = [], set(), re.compile(r"\S+ ")
     for m in finder.finditer(text):
+        if m.lastgroup == "card" and not luhn([c for c in m[0] if c.isdigit()]):
+            continue
         if m.lastgroup != "name":
             found.append((m.lastgroup, m.start(), m.end()))
             continue
