@@ -229,8 +229,8 @@ def _confirm(percent):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets have 100 * intersection >= percent * union."""
-    right = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "members": "right"}), "b")
-    both = right.join(sets.withColumnsRenamed({"doc_id": "a", "members": "left"}), "a").select("a", "b", "left", "right")
+    right = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "members": "right"}).hint("merge"), "b")
+    both = right.join(sets.withColumnsRenamed({"doc_id": "a", "members": "left"}).hint("merge"), "a").select("a", "b", "left", "right")
     return stash(both.mapInArrow(_confirm(percent), "a long, b long"))
 
 
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = stash(classes.select("doc_id", "signature").mapInArrow(_tree_rows, "tree int, near long, far long, doc_id long"))
     found = stash(candidate_pairs(forest.withColumn("comp", F.col("doc_id"))))
     needed = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-    named = rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = rows.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stash(named.mapInArrow(_sets(words), "doc_id long, members binary"))
     links = confirmed(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
     roots = components(links)
