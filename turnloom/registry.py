@@ -1,5 +1,9 @@
 """All queries of the library outside the llm subpackage."""
 
-FLAGSHIP = "o218_flagship_lexical_topk"
-QUERIES = {}
-ORACLE_SQL = {}
+from .operators import aggregates, graph, joins, memory, quality, windows
+from .plans import evaluation, retrieval
+from .streaming import events
+from .sql import collect
+
+FLAGSHIP = "o613_flagship_lexical_topk"
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events)
