@@ -78,7 +78,7 @@ def _search(block, d, k):
             order = np.argsort(cols, kind="stable")
             rows, cols, scores = rows[order], cols[order], scores[order]
             heads = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]])) if len(cols) else []
-            for a, b in zip(heads, [*heads[1:], len(cols)], strict=True):
+            for a, b in zip(heads, [*heads[1:], len(cols)], strict=False):
                 q = cols[a]
                 all_ids, all_scores = np.concatenate([top_ids[q], ids[rows[a:b]]]), np.concatenate([top_scores[q], scores[a:b]])
                 keep = best(all_ids, all_scores, k)
