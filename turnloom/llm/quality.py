@@ -26,7 +26,7 @@ from ._arrow import WordHasher, text_chunks
 from ._tables import crc_mod
 
 #: Rows of the training sample; features kept of each; hash buckets; length of the vectors; n-gram lengths in bytes.
-TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, WIDTH, NGRAMS = 6000, 4000, 1 << 16, 8, (2, 3, 4)
+TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, WIDTH, NGRAMS = 3000, 1500, 1 << 16, 8, (2, 3, 4)
 EPOCHS, RATE, SEED = 8, 0.5, 5
 COLUMNS = ("words", "word_counts", "grams", "gram_counts", "repeats", "repeat_counts")
 
@@ -91,7 +91,7 @@ def _sample_features(batches):
                     got, counts = counted(part)
                     out[2 * kind].append(got)
                     out[2 * kind + 1].append(counts)
-        yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x, pa.list_(pa.int32())) for x in out]], ["label", *COLUMNS])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(x, pa.list_(pa.int32())) for x in out]], ["doc_id", "label", *COLUMNS])
 
 
 class Embeddings:
@@ -135,15 +135,14 @@ class Embeddings:
 
 def train_quality(labelled: DataFrame) -> tuple[list[np.ndarray], float]:
     """Fit on rows (doc_id, text, label) and return what scoring needs."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
-    sample = labelled.where("doc_id is not null and label is not null").orderBy(*order).limit(TRAIN_ROWS)
-    table = sample.select("text", F.col("label").cast("int")).mapInArrow(_sample_features, "label int, " + ", ".join(f"{c} array<int>" for c in COLUMNS)).toArrow()
+    sample = labelled.where("doc_id is not null and label is not null").select("text", F.col("label").cast("int"), "doc_id")
+    table = sample.mapInArrow(_sample_features, "doc_id long, label int, " + ", ".join(f"{c} array<int>" for c in COLUMNS)).toArrow().sort_by("doc_id")
     labels = np.asarray(table.column("label")).astype(int)
     share = float(labels.mean()) if len(labels) else 0.5
     model = Embeddings(share)
     if len(set(labels.tolist())) == 2:
         columns = [[np.asarray(x.values) for x in table.column(c)] for c in COLUMNS]
-        rows = [[(x[k], x[k + 1] / max(x[k + 1].sum(), 1)) for k in (0, 2, 4)] for x in zip(*columns, strict=True)]
+        rows = [[(x[k], (x[k + 1] / max(x[k + 1].sum(), 1)).astype(np.float32)) for k in (0, 2, 4)] for x in zip(*columns, strict=True)]
         model.fit(rows, labels)
     return model.weights()
 
