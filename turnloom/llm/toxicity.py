@@ -9,8 +9,9 @@ vote is its own; correlated voters share their weight. Its posterior labels trai
 linear classifier (logistic regression on which lexicon entries a text holds, numpy
 stochastic gradient descent), whose log odds are calibrated on the training labels.
 
-At scale: word and prefix counts by label are summed in Spark over all labelled
-training rows, and only the LEXICON strongest of each are kept. Vote patterns are
+At scale: labels are learned from at most LABELLED rows, those with the smallest hash of
+their id, so the ids that are broadcast stay bounded and no text is shuffled. Word and
+prefix counts by label are summed in Spark and only the LEXICON strongest are kept. Vote patterns are
 counted over all documents, and the counts of pairs of votes (voters squared numbers)
 plus a bounded number of frequent patterns reach the driver. The classifier is fitted
 on at most TRAIN_ROWS rows, half of them labelled at most, the rest any text.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from ._arrow import Tally, WordHasher, signed, text_chunks
 from ._tables import crc_mod, stash
 
-#: Entries of each learned lexicon; lexicon voters; rows the classifier sees; vote patterns kept.
-LEXICON, VOTERS, TRAIN_ROWS, PATTERNS = 4096, 6, 12000, 20000
+#: Entries of each learned lexicon; lexicon voters; rows the classifier sees; vote patterns kept; labelled rows learned from.
+LEXICON, VOTERS, TRAIN_ROWS, PATTERNS, LABELLED = 4096, 6, 12000, 20000, 40000
 #: Lengths of word beginnings in bytes; documents that must hold a lexicon entry; share of them that must be toxic.
 PREFIXES, LEAST, SHARE = (4, 5, 6, 7, 8), 3, 0.8
 EPOCHS, RATE, SEED = 6, 0.3, 11
@@ -206,7 +207,7 @@ def _training_rows(model):
                 own, (doc, keys) = ballot(data, offsets)
                 votes += [r.tobytes() for r in own]
                 ids += np.split(keys.astype(np.int32), np.cumsum(np.bincount(doc, minlength=len(own)))[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["label", "votes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(votes, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "votes", "ids"])
 
     return run
 
@@ -250,7 +251,9 @@ def train_toxicity(rows: DataFrame, labels: DataFrame, learn, label_col: str = "
     """(lexicon, weights, bias) of the linear classifier, from all rows (doc_id, text) and the labels that may be learned from."""
     context = rows.sparkSession.sparkContext
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).where(learn)
-    labelled = stash(rows.where(learn).join(known, "doc_id"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = stash(known.orderBy(*order).limit(LABELLED))
+    labelled = stash(rows.where(learn).join(F.broadcast(known), "doc_id"))
     lexicon = context.broadcast(learn_lexicon(labelled))
     seen = rows.select("text").mapInArrow(_patterns(lexicon), "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(PATTERNS).collect()
     prior = labelled.agg(F.avg("label").alias("p"), F.count("*").alias("n")).first()
@@ -259,13 +262,12 @@ def train_toxicity(rows: DataFrame, labels: DataFrame, learn, label_col: str = "
     if not len(votes):
         return lexicon, np.zeros(len(lexicon.value)), -3.0
     judge = LabelModel(votes, counts, prior["p"] if prior["p"] is not None else 0.05)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    half = labelled.orderBy(*order).limit(TRAIN_ROWS // 2).select("text", "label")
-    more = rows.where(learn).where("doc_id is not null").select("doc_id", "text").withColumn("h", F.xxhash64("doc_id"))
+    half = labelled.join(F.broadcast(known.orderBy(*order).limit(TRAIN_ROWS // 2).select("doc_id")), "doc_id", "left_semi").select("text", "label", "doc_id")
     share = min(1.0, TRAIN_ROWS / 2 / max(1, int(counts.sum())))
     # About TRAIN_ROWS / 2 texts by hash, then at most that many.
-    near = more.where(F.abs(F.col("h") / F.lit(2.0**63)) <= 1.5 * share).orderBy("h", "doc_id").limit(TRAIN_ROWS // 2).select("text", F.lit(None).cast("int").alias("label"))
-    table = half.unionByName(near).mapInArrow(_training_rows(lexicon), "label int, votes binary, ids array<int>").toArrow()
+    ids = rows.where(learn).where("doc_id is not null").select("doc_id").where(F.abs(F.xxhash64("doc_id") / F.lit(2.0**63)) <= 1.5 * share)
+    near = rows.join(F.broadcast(ids.orderBy(*order).limit(TRAIN_ROWS // 2)), "doc_id", "left_semi").select("text", F.lit(None).cast("int").alias("label"), "doc_id")
+    table = half.unionByName(near).mapInArrow(_training_rows(lexicon), "doc_id long, label int, votes binary, ids array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     own = np.array([np.frombuffer(v.as_py(), np.int8) for v in table.column("votes")]).reshape(len(table), len(Ballot.NAMES))
     features = [np.asarray(x.values) for x in table.column("ids")]
     truth = np.array([-1 if v is None else v for v in table.column("label").to_pylist()])
