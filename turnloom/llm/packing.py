@@ -29,41 +29,59 @@ WINDOW, OPEN, MERGE, CACHE = 1024, 64, 64, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def byte_ranks(path):
+    """Pieces as bytes with their ids, from a byte-level BPE file, where ids follow the order of merges."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model["added_tokens"]}
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(spare)}
+    return {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
+
+
+class Parts(dict):
+    """Ids of text parts that follow a space, as bytes; None for a part that must not be cut off there."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, part):
+        if len(self) >= CACHE:
+            self.clear()
+        self[part] = ids = self.encode(" " + part) if part and part.strip() == part else None
+        return ids
+
+
 class Encoder:
     """Text to ids (little-endian unsigned 32-bit) with the given vocabulary file. Make one per task.
 
     A text is cut before single spaces that stand between other characters; no token
-    crosses such a place, so each part can be encoded by itself and remembered.
+    crosses such a place, so each part can be encoded by itself and remembered. A text
+    with any other space is encoded whole.
     """
 
-    def __init__(self, path):
-        import re
-
-        from tokenizers import Tokenizer
+    def __init__(self, path, pattern):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = {}
-        self.unsafe = re.compile(r"\s \S|\S \s|^ | $|  ")
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_ranks(path), special_tokens={})
+        self.known = Parts(self.whole)
 
-    def parts(self, parts):
-        fresh = [p for p in set(parts) if p not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE:
-                self.known.clear()
-                fresh = list(set(parts))
-            for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+    def whole(self, text):
+        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __call__(self, text):
         if not text:
             return b""
-        if self.unsafe.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
         head, *tail = text.split(" ")
-        return self.parts([head, *[" " + t for t in tail]])
+        if not head or head.strip() != head:
+            return self.whole(text)
+        try:
+            return self.whole(head) + b"".join(map(self.known.__getitem__, tail))
+        except TypeError:
+            return self.whole(text)
 
 
 class Packer:
@@ -143,11 +161,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _pack(path, end_id, window, open_windows):
+def _pack(path, pattern, end_id, window, open_windows):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, packer = Encoder(path), Packer(TaskContext.get().partitionId() << 40, window, open_windows)
+        encode, packer = Encoder(path, pattern), Packer(TaskContext.get().partitionId() << 40, window, open_windows)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -176,13 +194,14 @@ def _merge(window, open_windows):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, open_windows: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, window: int = WINDOW, open_windows: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``vocabulary``: a tokenizer file that every executor can read at this path.
+    ``vocabulary``: a byte-level BPE file that every executor can read at this path;
+    ``pattern`` splits texts before its merges.
     """
     rows = picked(docs, id_col, text_col)
-    packed = stash(rows.mapInArrow(_pack(vocabulary, end_id, window, open_windows), PIECES))
+    packed = stash(rows.mapInArrow(_pack(vocabulary, pattern, end_id, window, open_windows), PIECES))
     groups = max(1, rows.rdd.getNumPartitions() // MERGE)
     left = packed.where("sequence_id is null").select("doc_id", "start", "ids", "doc_tokens")
     merged = left.repartition(groups).mapInArrow(_merge(window, open_windows), PIECES)

@@ -28,7 +28,7 @@ def op4_near_dedup(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op6_quality(spark, sf_dir):
