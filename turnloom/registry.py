@@ -1,9 +1,10 @@
 """All queries of the library outside the llm subpackage."""
 
-from .operators import aggregates, graph, joins, memory, quality, windows
+from .functions import text
+from .operators import aggregates, filters, graph, joins, memory, quality, scores, windows
 from .plans import evaluation, retrieval
 from .streaming import events
 from .sql import collect
 
 FLAGSHIP = "o613_flagship_lexical_topk"
-QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events)
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, filters, scores, text)

@@ -2,7 +2,7 @@
 
 A few constructs differ between the two; ``render`` fills them in:
 ``{words(x)}`` lower-case words of a text, ``{explode(x)}`` a lateral row per element
-(column ``tok``), ``{size(x)}``, ``{distinct(x)}`` and ``{common(x;y)}`` on arrays,
+(column ``tok``), ``{posexplode(x)}`` with its place from 0 (``pos``), ``{size(x)}``, ``{distinct(x)}`` and ``{common(x;y)}`` on arrays,
 ``{collect(x;o)}`` an array of x in the order o, ``{epoch(ts)}`` whole seconds,
 ``{days(a;b)}`` whole days from a to b.
 """
@@ -26,6 +26,12 @@ DIALECTS = {
     "epoch": ("CAST(unix_timestamp(CAST($1 AS timestamp)) AS bigint)", "CAST(floor(epoch($1)) AS bigint)"),
     "days": ("datediff($2, $1)", "date_diff('day', CAST($1 AS date), CAST($2 AS date))"),
     "json_int": ("CAST(get_json_object($1, '$.$2') AS bigint)", "CAST(json_extract($1, '$.$2') AS bigint)"),
+    "sha256": ("sha2($1, 256)", "sha256($1)"),
+    "bytes": ("encode($1, 'UTF-8')", "encode($1)"),
+    "has": ("array_contains($1, '$2')", "list_contains($1, '$2')"),
+    "head": ("slice($1, 1, $2)", "list_slice($1, 1, $2)"),
+    "posexplode": ("LATERAL VIEW posexplode($1) t AS pos, tok", ", LATERAL (SELECT unnest($1) AS tok, generate_subscripts($1, 1) - 1 AS pos) t"),
+    "squeeze": ("regexp_replace($1, '[ \\\\t\\\\r\\\\n]+', ' ')", "regexp_replace($1, '[ \\t\\r\\n]+', ' ', 'g')"),
     "sha1": ("sha1($1)", "sha1($1)"),
     "matches": ("($1 RLIKE '$2')", "regexp_matches($1, '$2')"),
     "replace": ("regexp_replace($1, '$2', '')", "regexp_replace($1, '$2', '', 'g')"),
