@@ -25,7 +25,7 @@ treated alike. Other columns pass through untouched where rows are rewritten.
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Key of the permutations where the caller gives none, and the rounds of each Feistel network.
@@ -256,8 +256,8 @@ def _mentions(key):
 def collisions(texts: DataFrame, key: str) -> DataFrame:
     """(kind, entity, attempt) of every entity that shares its surrogate with a smaller one."""
     pairs = texts.mapInArrow(_mentions(key), "kind string, entity string, surrogate string").distinct()
-    shared = pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return pairs.join(shared, ["kind", "surrogate"]).where("entity <> first").select("kind", "entity")
+    first = F.min("entity").over(Window.partitionBy("kind", "surrogate"))
+    return pairs.withColumn("first", first).where("entity <> first").select("kind", "entity")
 
 
 def _rewrite(key, losers):
