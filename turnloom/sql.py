@@ -17,6 +17,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: construct: (Spark, DuckDB), $1 and $2 standing for its arguments.
 DIALECTS = {
     "words": ("regexp_extract_all(lower($1), '[a-z0-9]+', 0)", "regexp_extract_all(lower($1), '[a-z0-9]+')"),
+    "tokens": ("regexp_extract_all(lower($1), \"[a-z0-9][a-z0-9']*\", 0)", "regexp_extract_all(lower($1), '[a-z0-9][a-z0-9\'\']*')"),
+    "names": ("regexp_extract_all($1, '[A-Z][a-z]+( [A-Z][a-z]+)?', 0)", "regexp_extract_all($1, '[A-Z][a-z]+( [A-Z][a-z]+)?')"),
+    "sentences": ("regexp_extract_all($1, '[^.!?]+[.!?]*', 0)", "regexp_extract_all($1, '[^.!?]+[.!?]*')"),
+    "without": ("filter($1, x -> x NOT IN ($2))", "list_filter($1, lambda x: x NOT IN ($2))"),
     "explode": ("LATERAL VIEW explode($1) t AS tok", ", unnest($1) AS t(tok)"),
     "size": ("size($1)", "len($1)"),
     "distinct": ("array_distinct($1)", "list_distinct($1)"),
