@@ -217,3 +217,36 @@ def test_pipeline_keeps_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "pii", "packing"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from turnloom.llm._tables import stash
+
+    sf = "/root/testdata/sf0.001"
+    kept = {"documents": spark.read.parquet(f"{sf}/documents.parquet")}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = stash(stage(spark, list(kept.values())[-1], sf))
+        if name != "packing":
+            assert kept[name].columns == kept["documents"].columns
+    texts = {k: {r.doc_id: r.text or "" for r in d.select("doc_id", "text").collect()} for k, d in kept.items() if k != "packing"}
+    scores = {r.doc_id: r.predicted for r in quality.quality_split(kept["documents"], spark.read.parquet(f"{sf}/labels.parquet"), 5, 0).collect()}
+    assert set(texts["quality"]) == {d for d in texts["documents"] if scores[d] == 1}
+    last = {}
+    for d, t in sorted(texts["quality"].items()):
+        last[t] = d
+    assert set(texts["exact_dedup"]) == set(last.values())
+    assert set(texts["near_dedup"]) == {d for d, (_, c) in brute_components(texts["exact_dedup"], 5).items() if d == c}
+    assert set(texts["pii"]) == set(texts["near_dedup"])
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    ids = {d: tokenizer.encode(t, add_special_tokens=False).ids + [0] for d, t in texts["pii"].items()}
+    pieces = sorted(kept["packing"].collect(), key=lambda r: (r.doc_id, r.start))
+    at = collections.Counter()
+    for r in pieces:
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+        at[r.doc_id] += r.length
+    assert at == {d: len(i) for d, i in ids.items()}
