@@ -109,6 +109,29 @@ def test_context_tree_probabilities_sum_to_one():
     assert np.allclose((10.0 ** tree.table[[1, tree.n]].astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("head", [1 << 20, 256])
+def test_context_tree_keeps_rare_contexts(spark, monkeypatch, head):
+    """Scores equal those of a tree of all seen contexts, in a corpus where most contexts hold less than a 16,384th of the bytes."""
+    monkeypatch.setattr(ctw, "BASE_GRAMS", head, raising=False)
+    monkeypatch.setattr(ctw, "WEIGHED", 500, raising=False)
+    rng = np.random.default_rng(4)
+    common = [f"w{k}" for k in range(30)]
+    texts = {k: " ".join([*rng.choice(common, 400).tolist(), *("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(20))]) for k in range(60)}
+    padded = {k: bytes(ctw.DEPTH) + t.encode() + b"\0" for k, t in texts.items()}
+    seen = [collections.defaultdict(collections.Counter) for _ in range(ctw.DEPTH + 1)]
+    for k, t in padded.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for i in range(ctw.DEPTH, len(t)):
+                for d in range(ctw.DEPTH + 1):
+                    seen[d][int.from_bytes(t[i - d : i])][t[i]] += 1
+    assert sum(len(t) - ctw.DEPTH for t in padded.values()) > 3 * 16384
+    tree = ctw.ContextTree([{c: (np.array(sorted(n)), np.array([float(n[b]) for b in sorted(n)])) for c, n in level.items()} for level in seen])
+    rows = ctw.score_training_split(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert any(r["held_out"] for r in rows) and len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r["score"], float(tree.costs(np.frombuffer(padded[r["doc_id"]], np.uint8), ctw.DEPTH).astype(float).sum()), rel_tol=1e-5)
+
+
 def test_languages(spark, docs, empty):
     english, german = "the thing that is with this ", "der und die nicht ein schön über "
     rows = [(k, (english if k % 2 else german) * 3, "en" if k % 2 else "de") for k in range(60)] + [(100, None, "en"), (101, "123 !", "en")]

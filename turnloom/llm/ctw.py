@@ -7,13 +7,15 @@ estimate with that of its children, half and half, at every depth:
 Pw = 1/2 KT + 1/2 prod Pw(child). Scoring mixes the estimates along a path with the
 posterior weights of that recursion, and gives log10 probability and bits per byte.
 
-At scale: one pass counts (DEPTH+1)-grams of bytes and words of all training texts,
-summed by key in Spark. A context is a node of its own if it holds at least
-1/MAX_CONTEXTS of all training bytes, so no depth has more than MAX_CONTEXTS nodes
-whatever the size of the corpus, and the model that is broadcast stays bounded; rarer
-contexts share the "rest" child of their parent. The unigram base needs the count of
-every word: the BASE_WORDS most frequent words (bounded) are broadcast, the others
-meet their counts in a shuffle by word.
+At scale: one pass counts (DEPTH+1)-grams of bytes and words of all texts, summed by
+key in Spark. Every context that was seen is a node: the grams stay in a Spark table,
+dealt by their TOP newest bytes of context, so that a task holds whole subtrees. A first
+pass weighs those up to depth TOP, whose nodes (at most 255 * 256**TOP, whatever the size
+of the corpus) the driver joins up to the root; a second gives each gram that any text
+has its cost. The costs of the BASE_GRAMS most frequent grams are broadcast, the others
+meet theirs in a shuffle. The unigram base needs the count of every word: the BASE_WORDS
+most frequent words (bounded) are broadcast, the others meet their counts in a shuffle
+by word.
 
 Defined cases: null text counts as empty; an empty text still has its end token and
 end byte. Without any training text all counts are zero, so every byte has
@@ -28,20 +30,27 @@ from pyspark.sql import functions as F
 from ._arrow import Tally, WordHasher, signed, text_chunks
 from ._tables import crc_mod, picked, stash
 
-#: Bytes of context; most contexts of one depth; most words whose counts are broadcast.
-DEPTH, MAX_CONTEXTS, BASE_WORDS = 4, 1 << 14, 1 << 19
+#: Bytes of context; bytes of context that a task's subtrees share; most grams whose costs, and words whose counts, are broadcast.
+DEPTH, TOP, BASE_GRAMS, BASE_WORDS = 4, 2, 1 << 20, 1 << 19
+#: Places of the hashed table of broadcast grams, as a power of two; grams that a task weighs at once, but for larger subtrees.
+PLACES, WEIGHED = 19, 100_000
+#: Bytes of text handled at once, and counts held before they are folded: only memory depends on them.
+CHUNK, HELD = 500_000, 1_000_000
 
 
 def _count(batches):
-    """(kind, key, n): kind 0 words by fingerprint, kind 1 grams of DEPTH + 1 bytes, newest byte lowest."""
+    """(kind, key, n): kind 0 words by fingerprint, kind 1 grams of DEPTH + 1 bytes, newest byte lowest, both of training texts; kind 2 grams of the others."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    words, grams, hasher = Tally(), Tally(), WordHasher()
+    tallies, hasher = [Tally(HELD) for _ in range(3)], WordHasher()
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0)):
-            words.add(hasher(data, offsets)[0])
-            grams.add(gram_codes(*padded(hasher.fold[data], offsets)))
-    for kind, tally in ((0, words), (1, grams)):
+        for kind, part in ((1, batch.filter(pc.invert(batch.column(1)))), (2, batch.filter(batch.column(1)))):
+            for _, _, data, offsets in text_chunks(part.column(0), CHUNK):
+                if kind == 1:
+                    tallies[0].add(hasher(data, offsets)[0])
+                tallies[kind].add(gram_codes(*padded(hasher.fold[data], offsets)))
+    for kind, tally in enumerate(tallies):
         keys, counts = tally.fold()
         for k in range(0, len(keys), 100_000):
             part = keys[k : k + 100_000]
@@ -93,7 +102,10 @@ def bit_counts(counts):
 
 
 class ContextTree:
-    """Nodes by depth; child[node, byte] is the child's node, or -1 for the rest child of that node."""
+    """The whole model in memory, for small corpora: what the tables of ``gram_costs`` must equal.
+
+    Nodes by depth; child[node, byte] is the child's node, or -1 for the rest child of that node.
+    """
 
     def __init__(self, levels):
         """levels[d]: dict from a context (an int, newest byte lowest) to its counts of next bytes."""
@@ -170,41 +182,166 @@ class ContextTree:
         return self.table[row, body[depth:]]
 
 
-def train_model(grams: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> ContextTree:
-    """Fit the tree from (key, n) rows; what is collected is bounded by depth * max_contexts contexts."""
-    total = grams.agg(F.sum("n").alias("n")).first()["n"] or 0
-    levels = []
-    for d in range(depth + 1):
-        context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * d) - 1)
-        seen = grams.groupBy(context.alias("context"), F.col("key").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n"))
-        level = {}
-        if d == 0:
-            level[0] = (np.zeros(0, np.int64), np.zeros(0))
-            rows = seen
-        else:
-            frequent = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= F.lit(total / max_contexts)).select("context")
-            rows = seen.join(F.broadcast(frequent), "context", "left_semi")
-        table = rows.toArrow()
-        contexts, bytes_, ns = (np.asarray(table.column(c)) for c in ("context", "byte", "n"))
-        order = np.argsort(contexts, kind="stable")
-        contexts, bytes_, ns = contexts[order], bytes_[order], ns[order]
-        heads = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else []
-        for start, end in zip(heads, [*heads[1:], len(contexts)], strict=False):
-            c = int(contexts[start])
-            if d == 0 or (c & ((1 << 8 * (d - 1)) - 1)) in levels[d - 1]:
-                level[c] = (bytes_[start:end], ns[start:end].astype(float))
+def decisions(keys, depth):
+    """Nodes (a context of ``depth`` bytes, then one of 255 decisions as lowest byte) of the eight decisions of each gram, and the bits decided; level by level."""
+    context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    nodes = [(context << np.uint64(8)) | ((1 << level) | (byte >> (8 - level))).astype(np.uint64) for level in range(8)]
+    return np.concatenate(nodes), np.concatenate([(byte >> (7 - level)) & 1 for level in range(8)])
+
+
+def leaves(keys, counts, depth):
+    """(nodes, zeros, ones, weighted, share) at the last depth, then the node and the bit of each decision of each gram."""
+    codes, bits = decisions(keys, depth)
+    nodes, at = np.unique(codes, return_inverse=True)
+    seen = np.tile(counts.astype(float), 8)
+    zeros, ones = (np.bincount(at, weights=seen * (bits == bit), minlength=len(nodes)) for bit in (0, 1))
+    return (nodes, zeros, ones, log_kt(zeros, ones), np.ones(len(nodes))), at, bits
+
+
+def lifted(level, depth):
+    """The level above one at ``depth``, and the parent there of each node; nodes never seen weigh nothing."""
+    nodes, at = np.unique(level[0] & np.uint64((1 << 8 * depth) - 1), return_inverse=True)
+    zeros, ones, below = (np.bincount(at, weights=v, minlength=len(nodes)) for v in level[1:4])
+    own = log_kt(zeros, ones)
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return (nodes, zeros, ones, weighted, np.exp(own - np.log(2) - weighted)), at
+
+
+def climbed(level, depth, end):
+    """Levels from ``depth`` to ``end``, and for each but the last the parents of its nodes."""
+    levels, parents = [level], []
+    for d in range(depth, end, -1):
+        level, at = lifted(level, d)
         levels.append(level)
-    return ContextTree(levels)
+        parents.append(at)
+    return levels, parents
+
+
+def descended(levels, parents, above, left):
+    """From the last level down to the first: what the nodes above contribute there, and the share left to it."""
+    for (_, zeros, ones, _, share), at in zip(levels[:0:-1], parents[::-1], strict=True):
+        rate = (ones + 0.5) / (zeros + ones + 1.0)
+        above, left = (above + left * share * rate)[at], (left * (1 - share))[at]
+    return above, left
+
+
+def whole_subtrees(batches, top):
+    """Columns (uint64 keys first) of batches sorted by the ``top`` newest bytes of context, cut only between these."""
+    held, count = [], 0
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        count += len(batch)
+        if count >= WEIGHED:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            group = (columns[0].view(np.uint64) >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)
+            cut = len(group) - int(np.argmax(group[::-1] != group[-1])) if group[0] != group[-1] else 0
+            if cut:
+                yield [columns[0][:cut].view(np.uint64), *[c[:cut] for c in columns[1:]]]
+            held, count = [[c[cut:] for c in columns]], len(group) - cut
+    if count:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield [columns[0].view(np.uint64), *columns[1:]]
+
+
+def _weigh(depth, top):
+    """(node, zeros, ones, weighted) of every node at depth ``top``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for keys, counts in whole_subtrees(batches, top):
+            levels, _ = climbed(leaves(keys, counts, depth)[0], depth, top)
+            nodes, zeros, ones, weighted, _ = levels[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(nodes)), *map(pa.array, (zeros, ones, weighted))], ["node", "zeros", "ones", "weighted"])
 
+    return run
+
+
+def _price(trunk, depth, top):
+    """(key, m, cost) of every gram: log10 probability of its newest byte after the others."""
 
-def _score(model, frequent, depth):
     def run(batches):
         import pyarrow as pa
 
-        tree, (keys, counts), hasher = model.value, frequent.value, WordHasher()
+        nodes, above, left = trunk.value
+        for keys, counts, m in whole_subtrees(batches, top):
+            leaf, at, bits = leaves(keys, counts, depth)
+            levels, parents = climbed(leaf, depth, top)
+            place = np.searchsorted(nodes, levels[-1][0])
+            over, share = descended(levels, parents, above[place], left[place])
+            one = np.clip(over + share * (leaf[2] + 0.5) / (leaf[1] + leaf[2] + 1.0), 1e-12, 1 - 1e-12)[at]
+            cost = np.log10(np.where(bits, one, 1 - one)).reshape(8, -1).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(m), pa.array(cost.astype(np.float32))], ["key", "m", "cost"])
+
+    return run
+
+
+def gram_costs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, m, cost) of rows (key, n, m): grams seen n times in training texts, and m times in any."""
+    top = min(TOP, depth)
+    group = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * top) - 1)
+    dealt = grams.withColumn("group", group).repartition("group").sortWithinPartitions("group")
+    table = dealt.select("key", "n").mapInArrow(_weigh(depth, top), "node long, zeros double, ones double, weighted double").toArrow()
+    nodes, zeros, ones, weighted = (np.asarray(c) for c in table.columns)
+    order = np.argsort(nodes)
+    level = (nodes[order].astype(np.uint64), zeros[order], ones[order], weighted[order], None)
+    levels, parents = climbed(level, top, 0)
+    above, left = descended(levels, parents, np.zeros(len(levels[-1][0])), np.ones(len(levels[-1][0])))
+    trunk = grams.sparkSession.sparkContext.broadcast((level[0], above, left))
+    return stash(dealt.select("key", "n", "m").mapInArrow(_price(trunk, depth, top), "key long, m long, cost float"))
+
+
+def split_head(table: DataFrame, count: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the largest counts, ``most`` at most, and the others: cut at a power of 2**(1/4) of the count."""
+    step = F.floor(F.log2(count) * 4)
+    least, held = None, 0
+    for row in table.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["step"]
+    return (table.where(step >= F.lit(least)), table.where(step < F.lit(least))) if least is not None else (table.limit(0), table)
+
+
+class FrequentGrams:
+    """Costs of the broadcast grams: the more frequent gram has each hashed place, the others are searched for."""
+
+    def __init__(self, keys, costs):
+        """Keys by rising count, with their costs."""
+        order = np.argsort(keys)
+        self.sorted, self.sorted_costs = keys[order], costs[order]
+        self.keys, self.costs = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.float32)
+        self.keys[0] = 1  # place 0 is that of gram 0
+        place = self.place(keys)
+        self.keys[place], self.costs[place] = keys, costs
+
+    @staticmethod
+    def place(keys):
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+    def __call__(self, grams):
+        """The cost of each gram, and which are not among the broadcast ones."""
+        place = self.place(grams)
+        costs, missed = self.costs[place].astype(np.float64), np.flatnonzero(self.keys[place] != grams)
+        unknown = np.zeros(len(grams), dtype=bool)
+        if len(missed):
+            unknown[missed] = True
+            if len(self.sorted):
+                at = np.minimum(np.searchsorted(self.sorted, grams[missed]), len(self.sorted) - 1)
+                found = self.sorted[at] == grams[missed]
+                costs[missed[found]], unknown[missed[found]] = self.sorted_costs[at[found]], False
+        return costs, unknown
+
+
+def _score(costs, frequent):
+    def run(batches):
+        import pyarrow as pa
+
+        grams, (keys, counts), hasher = FrequentGrams(*costs.value), frequent.value, WordHasher()
         for batch in batches:
-            n_tokens, found, dense, log_p, size, rare = [], [], [], [], [], []
-            for _, _, data, offsets in text_chunks(batch.column(1)):
+            n_tokens, found, dense, log_p, size, rare, rare_grams = [], [], [], [], [], [], []
+            for _, _, data, offsets in text_chunks(batch.column(1), CHUNK):
                 hashes, _, _, words = hasher(data, offsets)
                 n = len(offsets) - 1
                 if len(keys):
@@ -218,15 +355,17 @@ def _score(model, frequent, depth):
                 n_tokens.append(words + 1)
                 missed, ends = hashes[~hit], np.cumsum(np.bincount(doc[~hit], minlength=n))
                 rare += [signed(x) for x in np.split(missed, ends[:-1])] if n else []
-                body, begin = padded(hasher.fold[data], offsets)
-                total = np.concatenate([[0.0], np.cumsum(tree.costs(body, depth).astype(np.float64))])
-                lengths = np.diff(offsets) + 1
-                log_p.append(total[begin - depth + lengths] - total[begin - depth])
-                size.append(lengths - 1)
+                codes = gram_codes(*padded(hasher.fold[data], offsets))
+                cost, unknown = grams(codes)
+                doc = np.repeat(np.arange(n), np.diff(offsets) + 1)
+                log_p.append(np.bincount(doc, weights=np.where(unknown, 0, cost), minlength=n))
+                rare_grams += [signed(x) for x in np.split(codes[unknown], np.cumsum(np.bincount(doc[unknown], minlength=n))[:-1])]
+                size.append(np.diff(offsets))
             join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind)) if parts else pa.array([], pa.from_numpy_dtype(kind))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, rare_grams)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), join(n_tokens, np.int64), join(found, np.int64), join(dense, np.float64), join(log_p, np.float64), join(size, np.int64), pa.array(rare, pa.list_(pa.int64())), batch.column(3)],
-                ["doc_id", "held_out", "n_tokens", "n_found", "dense", "score", "n_bytes", "rare", "row"],
+                [batch.column(0), batch.column(2), join(n_tokens, np.int64), join(found, np.int64), join(dense, np.float64), join(log_p, np.float64), join(size, np.int64), *lists, batch.column(3)],
+                ["doc_id", "held_out", "n_tokens", "n_found", "dense", "score", "n_bytes", "rare", "rare_grams", "row"],
             )
 
     return run
@@ -242,31 +381,29 @@ def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), held.alias("held_out"))
     train = rows.where(~F.col("held_out"))
-    tallies = stash(train.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, grams = tallies.where("kind = 0").select("key", "n"), tallies.where("kind = 1").select("key", "n")
+    tallies = stash(rows.select("text", "held_out").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    words = tallies.where("kind = 0").select("key", "n")
+    grams = tallies.where("kind > 0").groupBy("key").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("m"))
     stats = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     ends = train.count()
     train_tokens, types = (stats["tokens"] or 0) + ends, stats["types"] + (1 if ends else 0)
-    model = spark.sparkContext.broadcast(train_model(grams, depth))
-    # Powers of 2**(1/4) of the count, from the top, as long as they hold BASE_WORDS words at most.
-    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect()
-    least, held_words = None, 0
-    for step in steps:
-        held_words += step["m"]
-        if held_words > BASE_WORDS:
-            break
-        least = step["step"]
-    top = words.where(F.floor(F.log2("n") * 4) >= F.lit(least)).toArrow() if least is not None else words.limit(0).toArrow()
+    common_grams, other_grams = split_head(gram_costs(grams, depth), "m", BASE_GRAMS)
+    top = common_grams.toArrow()
+    order = np.argsort(np.asarray(top.column("m")), kind="stable")
+    costs = spark.sparkContext.broadcast((np.asarray(top.column("key")).astype(np.int64).view(np.uint64)[order], np.asarray(top.column("cost")).astype(np.float32)[order]))
+    common_words, other_words = split_head(words, "n", BASE_WORDS)
+    top = common_words.toArrow()
     keys, counts = np.asarray(top.column("key")).astype(np.int64).view(np.uint64), np.asarray(top.column("n")).astype(np.float64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], counts[order]))
-    parts = stash(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model, frequent, depth), "doc_id long, held_out boolean, n_tokens long, n_found long, dense double, score double, n_bytes long, rare array<long>, row long"))
-    others = words.where(F.floor(F.log2("n") * 4) < F.lit(least)) if least is not None else words
-    seldom = parts.select("row", F.explode("rare").alias("key")).join(others, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sparse"))
+    parts = stash(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(costs, frequent), "doc_id long, held_out boolean, n_tokens long, n_found long, dense double, score double, n_bytes long, rare array<long>, rare_grams array<long>, row long"))
+    seldom = parts.select("row", F.explode("rare").alias("key")).join(other_words, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sparse"))
+    seldom_grams = parts.select("row", F.explode("rare_grams").alias("key")).join(other_grams, "key").groupBy("row").agg(F.sum(F.col("cost").cast("double")).alias("sparse_cost"))
+    whole = parts.drop("rare", "rare_grams").join(seldom, "row", "left").join(seldom_grams, "row", "left").withColumn("score", F.col("score") + F.coalesce("sparse_cost", F.lit(0.0)))
     denominator = F.log10(F.lit(float(train_tokens + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     more = F.coalesce("more", F.lit(0))
-    return parts.drop("rare").join(seldom, "row", "left").select(
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
