@@ -234,6 +234,19 @@ def test_classifiers_on_held_out_rows(spark, docs, empty):
         assert split(docs, nothing).count() == len(ROWS) and split(empty, nothing).count() == 0
 
 
+def test_quality_learns_from_every_feature(spark, monkeypatch):
+    """Rows with thousands of distinct n-grams reach training whole."""
+    rng, rows, fit = np.random.default_rng(6), [], quality.Embeddings.fit
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 20000)), "short one", ""]
+    monkeypatch.setattr(quality.Embeddings, "fit", lambda self, got, labels: rows.extend(got) or fit(self, got, labels))
+    quality.train_quality(spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, label int"))
+    for text, row in zip(texts, rows, strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for (_, ids), (got, _) in zip(quality.Features().kinds(data, np.array([0, len(data)])), row, strict=True):
+            assert np.array_equal(np.unique(ids), np.asarray(got))
+    assert len(rows[0][1][0]) > 1500
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

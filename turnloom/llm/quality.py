@@ -7,10 +7,10 @@ table, side by side; a softmax layer turns that into class probabilities. Vector
 layer are trained together by plain numpy stochastic gradient descent.
 
 Labels are learned from at most TRAIN_ROWS labelled rows, those with the smallest
-hash of their id; the executors turn them into hashed feature counts, of which at most
-TRAIN_FEATURES per row (the most frequent; ties to the smaller bucket) reach the
-driver, so what it holds is bounded whatever the size of the corpus. Scoring reads
-whole texts.
+hash of their id; the executors turn them into hashed feature counts, and all of a
+row's features reach the driver, packed as two bytes of bucket and four of count. There
+are at most 2 * BUCKETS and a few of them a row, so what the driver holds is bounded
+whatever the size of the corpus. Training and scoring read whole texts.
 
 Defined cases: null or empty text has no features and gets the score of the bias
 alone. Without labels, or with one class only, the score is the share of label 1 (0.5
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ._arrow import WordHasher, text_chunks
 from ._tables import crc_mod
 
-#: Rows of the training sample; features kept of each; hash buckets; length of the vectors; n-gram lengths in bytes.
-TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, WIDTH, NGRAMS = 3000, 1500, 1 << 16, 8, (2, 3, 4)
+#: Rows of the training sample; hash buckets; length of the vectors; n-gram lengths in bytes.
+TRAIN_ROWS, BUCKETS, WIDTH, NGRAMS = 6000, 1 << 16, 8, (2, 3, 4)
 EPOCHS, RATE, SEED = 8, 0.5, 5
 COLUMNS = ("words", "word_counts", "grams", "gram_counts", "repeats", "repeat_counts")
 
@@ -70,17 +70,14 @@ class Features:
 
 
 def _sample_features(batches):
-    """(label, then ids and counts of each kind of feature) of each training row."""
+    """(doc_id, label, then ids and counts of each kind of feature as packed integers) of each training row."""
     import pyarrow as pa
 
     features = Features()
 
     def counted(ids):
         ids, counts = np.unique(ids, return_counts=True)
-        if len(ids) > TRAIN_FEATURES:
-            top = np.sort(np.argsort(-counts, kind="stable")[:TRAIN_FEATURES])
-            ids, counts = ids[top], counts[top]
-        return ids.astype(np.int32), counts.astype(np.int32)
+        return ids.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
 
     for batch in batches:
         out = [[] for _ in range(6)]
@@ -91,7 +88,7 @@ def _sample_features(batches):
                     got, counts = counted(part)
                     out[2 * kind].append(got)
                     out[2 * kind + 1].append(counts)
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(x, pa.list_(pa.int32())) for x in out]], ["doc_id", "label", *COLUMNS])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "label", *COLUMNS])
 
 
 class Embeddings:
@@ -105,7 +102,7 @@ class Embeddings:
         self.bias = np.array([np.log(1 - share), np.log(share)])
 
     def fit(self, rows, labels):
-        """rows: per document (ids, weights) of each kind, weights summing to one."""
+        """rows: per document (ids, counts) of each kind; a document averages over its counts."""
         rng = np.random.default_rng(SEED)
         self.layer = rng.normal(0, 0.1, self.layer.shape)
         steps, done = EPOCHS * len(rows), 0
@@ -113,7 +110,8 @@ class Embeddings:
             for i in rng.permutation(len(rows)):
                 rate = RATE * (1 - done / steps)
                 done += 1
-                hidden = np.concatenate([w @ v[ids] if len(ids) else np.zeros(WIDTH) for v, (ids, w) in zip(self.vectors, rows[i], strict=True)])
+                row = [(ids, (counts / max(counts.sum(), 1)).astype(np.float32)) for ids, counts in rows[i]]
+                hidden = np.concatenate([w @ v[ids] if len(ids) else np.zeros(WIDTH) for v, (ids, w) in zip(self.vectors, row, strict=True)])
                 logits = hidden @ self.layer + self.bias
                 error = np.exp(logits - logits.max())
                 error /= error.sum()
@@ -121,7 +119,7 @@ class Embeddings:
                 back = self.layer @ error
                 self.layer -= rate * np.outer(hidden, error)
                 self.bias -= rate * error
-                for k, (ids, w) in enumerate(rows[i]):
+                for k, (ids, w) in enumerate(row):
                     if len(ids):
                         # Each vector is stepped by its share of the average; the square root speeds up rare ones.
                         self.vectors[k][ids] -= rate * np.sqrt(w)[:, None] * back[k * WIDTH : (k + 1) * WIDTH]
@@ -136,14 +134,16 @@ class Embeddings:
 def train_quality(labelled: DataFrame) -> tuple[list[np.ndarray], float]:
     """Fit on rows (doc_id, text, label) and return what scoring needs."""
     sample = labelled.where("doc_id is not null and label is not null").select("text", F.col("label").cast("int"), "doc_id")
-    table = sample.mapInArrow(_sample_features, "doc_id long, label int, " + ", ".join(f"{c} array<int>" for c in COLUMNS)).toArrow().sort_by("doc_id")
-    labels = np.asarray(table.column("label")).astype(int)
+    table = sample.mapInArrow(_sample_features, "doc_id long, label int, " + ", ".join(f"{c} binary" for c in COLUMNS)).toArrow()
+    order = np.argsort(np.asarray(table.column("doc_id")), kind="stable")
+    labels = np.asarray(table.column("label")).astype(int)[order]
     share = float(labels.mean()) if len(labels) else 0.5
     model = Embeddings(share)
     if len(set(labels.tolist())) == 2:
-        columns = [[np.asarray(x.values) for x in table.column(c)] for c in COLUMNS]
-        rows = [[(x[k], (x[k + 1] / max(x[k + 1].sum(), 1)).astype(np.float32)) for k in (0, 2, 4)] for x in zip(*columns, strict=True)]
-        model.fit(rows, labels)
+        # Views of the collected buffers, not copies.
+        columns = [[np.frombuffer(x.as_buffer(), kind) if x.as_buffer().size else np.zeros(0, kind) for x in table.column(c)] for c, kind in zip(COLUMNS, ("<u2", "<u4") * 3, strict=True)]
+        rows = [[(x[k], x[k + 1]) for k in (0, 2, 4)] for x in zip(*columns, strict=True)]
+        model.fit([rows[i] for i in order], labels)
     return model.weights()
 
 
