@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from turnloom.registry import FLAGSHIP, ORACLE_SQL, QUERIES
@@ -37,6 +38,24 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name,key,k", [("o214_l2_neighbours", "dist", 5), ("o217_cosine_threshold", "cosine", 10)])
+def test_searches_cover_every_twentieth_row_and_all_labels(spark, name, key, k):
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in QUERIES[name](spark, SF).collect():
+        got.setdefault(r.anchor_id, {})[r.vec_id] = r[key]
+    want = {}
+    for q in (v for v in vectors if v % 20 == 0):
+        a, others = vectors[q], [v for v in vectors if v != q]
+        score = {v: float(np.linalg.norm(a - vectors[v])) if key == "dist" else float(a @ vectors[v] / np.linalg.norm(a) / np.linalg.norm(vectors[v])) for v in others}
+        best = sorted(others, key=lambda v: (round(score[v] if key == "dist" else -score[v], 6), v))[:k]
+        hits = {v: score[v] for v in best if key == "dist" or round(score[v], 6) >= 0.1}
+        if hits:
+            want[q] = hits
+    assert {q: set(h) for q, h in got.items()} == {q: set(h) for q, h in want.items()}
+    assert all(math.isclose(got[q][v], want[q][v], abs_tol=2e-6) for q in want for v in want[q])
+
+
 def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
 
