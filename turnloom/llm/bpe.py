@@ -2,18 +2,26 @@
 
 Texts are cut by the tokenizer's pattern. A word is folded: its bytes are pieces, and
 step by step the pair of neighbours with the lowest rank is merged (the first of equal
-ranks), each step looking up only the two pairs that changed. Ranks are a literal: an
-array of small maps, by hash, whose keys are byte strings written as Latin-1 text.
-Decoding looks every id up in a literal array of pieces and concatenates them.
+pairs), each step looking up only the two pairs that changed. Ranks are a literal: an
+array of small maps, by hash, whose keys are pairs of pieces. Decoding looks every id
+up in a literal array of pieces and concatenates them.
 
 At scale: words are counted over the whole corpus, and each of the WORDS most frequent
 distinct words (a fixed bound) is folded once; their ids become a second literal.
 Rarer words are folded where they stand. So the corpus is never shuffled by word
 position: only word counts are, which partial aggregation shrinks first.
 
+A word longer than BLOCK bytes is folded in blocks that overlap by half. Wherever two
+neighbouring blocks share a piece, what precedes it in the one and follows it in the
+other is the encoding of both together, because in a trained vocabulary pieces that
+stay apart as a pair stay apart in any text. Blocks that share no piece (not seen in
+practice) leave the word to one fold over all of it, whose time grows with the square.
+
 Defined cases: null text counts as empty; empty text has no ids, and both digests are
 those of the empty string. A null id gives a row too, and repeated rows give one each.
-A word that is itself in the vocabulary is one id. Other columns are ignored.
+A word that is itself in the vocabulary is one id. Other columns are ignored. Every
+piece of the vocabulary must be what its own bytes merge into, as training makes it;
+other rank files are refused.
 """
 
 import base64
@@ -22,11 +30,15 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import picked
+from ._tables import picked, stash
 
-#: Most distinct words folded ahead; maps that the rank literal is dealt into, and those of the words.
-WORDS, RANK_BUCKETS, WORD_BUCKETS = 1 << 17, 1 << 14, 1 << 15
-NONE = 2**31 - 1
+#: Most distinct words folded ahead; maps that the rank literal is dealt into, and those of the words; bytes folded as one.
+WORDS, RANK_BUCKETS, WORD_BUCKETS, BLOCK = 1 << 17, 1 << 15, 1 << 15, 256
+#: No rank. Marks at both ends of a word; in place of a rank where a pair never merges; more pairs than any word has.
+NONE, MARK, NEVER, MOST = 2**31 - 1, "\u0800", "\U0010ffff", 2**30
+LATIN = "".join(map(chr, range(256)))
+#: A piece as a character: its id past this one, leaving out the surrogates.
+FIRST = 0x1000
 
 
 def read_ranks(path: str) -> dict[str, int]:
@@ -51,52 +63,118 @@ def looked_up(literal, key, buckets):
     return F.try_element_at(F.get(literal, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), key)
 
 
-def let(value, body):
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value, alike, body):
+    """``body(value)`` with the value computed once; ``alike`` is any column of the result's type."""
+    return F.aggregate(F.array(value), alike, lambda _, v: body(v))
 
 
-class Fold:
-    """The BPE of one word as a column expression."""
+def unreachable(ranks: dict[str, int]) -> list[str]:
+    """Pieces that merging their own bytes doesn't give."""
+    found = []
+    for piece in ranks:
+        parts = list(piece)
+        while len(parts) > 1:
+            low, i = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
+            if low == NONE:
+                found.append(piece)
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return found
 
-    def __init__(self, ranks):
-        self.ranks = ranks
 
-    def rank(self, piece):
-        return F.coalesce(looked_up(self.ranks, piece, RANK_BUCKETS), F.lit(NONE))
+def character(i):
+    """The character of an id."""
+    return chr(FIRST + i + 0x800 * (FIRST + i >= 0xD800))
 
-    def step(self, state, _):
-        def merge(k):
-            p, r = state["p"], state["r"]
-            new = F.concat(F.get(p, k - 1), F.get(p, k))
-            before = F.when(k > 1, F.array(self.rank(F.concat(F.get(p, k - 2), new)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(k < F.size(r), F.array(self.rank(F.concat(new, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-            pieces = F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, F.size(p)))
-            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(r, k + 2, F.size(r))).alias("r"))
 
-        low = F.array_min(state["r"])
-        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(state["r"], low).cast("int"), merge))
+class Fold:
+    """The BPE of one word as a column expression.
+
+    A piece is one character, and so is a rank (that of the merged piece), so a pair of
+    neighbours is a text of three: what it merges into, left and right. A word's pairs
+    form an array; the least text is the pair to merge, and a step replaces three pairs
+    by two. Marks stand before the first and after the last piece.
+    """
+
+    def __init__(self, ranks, spark):
+        odd = unreachable(ranks)
+        if odd:
+            raise ValueError(f"{len(odd)} pieces are not what their bytes merge into, such as {odd[0]!r}")
+        self.bytes = "".join(character(ranks[b]) for b in LATIN)
+        pairs = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    pair = character(left) + character(right)
+                    pairs[pair] = character(rank) + pair
+        self.pairs = bucketed(pairs, RANK_BUCKETS, "string", spark)
+        sizes = [0] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            sizes[rank] = len(piece)
+        self.sizes = F.from_json(F.lit(json.dumps(sizes)), "array<int>")
+
+    def ranked(self, pair):
+        return F.coalesce(looked_up(self.pairs, pair, RANK_BUCKETS), F.concat(F.lit(NEVER), pair))
+
+    def step(self, pairs, _):
+        def merge(low):
+            def at(k):
+                new = F.substring(low, 1, 1)
+                before = F.concat(F.substring(F.get(pairs, k - 2), 2, 1), new)
+                after = F.concat(new, F.substring(F.get(pairs, k), 3, 1))
+
+                def renewed(x, y):
+                    return F.flatten(F.array(F.slice(pairs, F.lit(1), k - 2), F.array(self.ranked(x), self.ranked(y)), F.slice(pairs, k + 2, F.lit(MOST))))
+
+                return let(before, pairs, lambda x: let(after, pairs, lambda y: renewed(x, y)))
+
+            return F.when(low >= NEVER, pairs).otherwise(let(F.find_in_set(low, F.array_join(pairs, ",")), pairs, at))
+
+        return let(F.array_min(pairs), pairs, merge)
+
+    def folded(self, raw):
+        """Ids of a byte string (Latin-1 text)."""
+        marked = F.concat(F.lit(MARK), F.translate(raw, LATIN, self.bytes), F.lit(MARK))
+        pairs = F.transform(F.regexp_extract_all(marked, F.lit("(?s)(?=(..))"), F.lit(1)), self.ranked)
+        code = lambda x: F.ascii(F.substring(x, 2, 1)) - FIRST
+        ids = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 1), lambda x: F.when(code(x) + FIRST < 0xD800, code(x)).otherwise(code(x) - 0x800))
+        return F.aggregate(F.sequence(F.lit(1), F.length(raw)), pairs, self.step, ids)
+
+    def placed(self, ids, begin):
+        """Each id with the byte it begins at, as place * 2**32 + id."""
+        start = F.struct(begin.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda s, i: F.struct((s["at"] + F.get(self.sizes, i)).alias("at"), F.array_append(s["out"], F.shiftleft(s["at"], 32) + i).alias("out"))
+        return F.aggregate(ids, start, step, lambda s: s["out"])
+
+    def in_blocks(self, raw):
+        """Ids of a long byte string, joined from those of overlapping blocks."""
+        none, half = F.array().cast("array<int>"), BLOCK // 2
+        begins = F.sequence(F.lit(0), F.length(raw) - half - 1, F.lit(half))
+        blocks = F.transform(begins, lambda b: self.placed(self.folded(F.substring(raw, b + 1, F.lit(BLOCK))), b))
+
+        def joined(blocks):
+            shared = F.transform(F.sequence(F.lit(1), F.size(blocks) - 1), lambda j: F.array_min(F.array_intersect(F.get(blocks, j - 1), F.get(blocks, j))))
+
+            def cut(shared):
+                own = lambda b, j: F.filter(b, lambda x: (x >= F.coalesce(F.get(shared, j - 1), F.lit(0))) & (x < F.coalesce(F.get(shared, j), F.lit(2**62))))
+                ids = F.transform(F.flatten(F.transform(blocks, own)), lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
+                return F.when(F.exists(shared, lambda x: x.isNull()), self.folded(raw)).otherwise(ids)
+
+            return let(shared, none, cut)
+
+        return let(blocks, none, joined)
 
     def __call__(self, word):
         """Ids of a word of text."""
-
-        def of_bytes(raw):
-            pieces = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
-
-            def folded(p):
-                ranks = F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: self.rank(F.concat(F.get(p, i - 1), F.get(p, i))))).otherwise(F.array().cast("array<int>"))
-                return F.aggregate(F.sequence(F.lit(1), F.size(p)), F.struct(p.alias("p"), ranks.alias("r")), self.step, lambda s: F.transform(s["p"], self.rank))
-
-            whole = looked_up(self.ranks, raw, RANK_BUCKETS)
-            return F.when(whole.isNotNull(), F.array(whole)).otherwise(let(pieces, folded))
-
-        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of_bytes)
+        none = F.array().cast("array<int>")
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), none, lambda raw: F.when(F.length(raw) <= BLOCK, self.folded(raw)).otherwise(self.in_blocks(raw)))
 
 
 def frequent_words(texts: DataFrame, limit: int = WORDS) -> DataFrame:
     """(word, b): the most frequent words, as many whole classes of counts as fit the limit."""
     counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    classed = counts.withColumn("step", F.floor(F.log2("n") * 8)).persist()
+    classed = stash(counts.withColumn("step", F.floor(F.log2("n") * 8)))
     least, held = None, 0
     for row in classed.groupBy("step").agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect():
         held += row["m"]
@@ -111,7 +189,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     """One row per input row: doc_id, ids array<int>, decoded binary."""
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
-    fold = Fold(bucketed(ranks, RANK_BUCKETS, "int", spark))
+    fold = Fold(ranks, spark)
     cut = "(?U)" + pattern
     texts = picked(docs, id_col, text_col).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(cut), F.lit(0)).alias("words"))
     chosen = frequent_words(texts)
