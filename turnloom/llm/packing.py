@@ -5,13 +5,19 @@ whole windows go out at once; its remainder goes into the open window that it fi
 best. When none can take it and no further window may be opened, the fullest one is
 topped up with the head of the remainder and emitted, so nothing is padded there. At
 the end each task's open windows are left over; their pieces, ids included (OPEN
-windows per task, a bound), meet in groups of many tasks and are packed once more by
-the same rule, then poured together, so that each group pads its last window only.
+windows per task, a bound), meet in groups of MERGE tasks, in the order of tasks and
+places, and are packed once more by the same rule, then poured together, so that each
+group pads its last window only. So no merging task reads more than MERGE * OPEN
+windows, and the groups grow with the table.
 
 A sequence may be shorter than the window without padding if its length is a power of
 two; no use is made of that but for counting padding.
 
-Defined cases: null text counts as empty; an empty text is its end id alone. A null id
+Ids are those of the tokenizers library with its defaults: an added token of the
+vocabulary file that stands in a text gets its own id.
+
+Defined cases: null text counts as empty; an empty text is its end id alone. Texts of
+any length are read whole; parts over PART bytes are not remembered. A null id
 is packed like any other. Repeated rows are packed one by one. An empty table gives an
 empty result. Other columns are ignored.
 """
@@ -24,22 +30,25 @@ from pyspark.sql import functions as F
 
 from ._tables import picked, stash
 
-#: Ids of a window; windows open in one task; tasks whose leftovers are merged together; cached words of a task.
-WINDOW, OPEN, MERGE, CACHE = 1024, 64, 64, 400_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Ids of a window; windows open in one task; tasks whose leftovers are merged together; cached words of a task; their characters at most.
+WINDOW, OPEN, MERGE, CACHE, PART = 1024, 64, 8, 400_000, 64
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, task int, place int"
 
 
 def byte_ranks(path):
-    """Pieces as bytes with their ids, from a byte-level BPE file, where ids follow the order of merges."""
+    """(pieces as bytes with their ids, added tokens with theirs) of a byte-level BPE file, where ids follow the order of merges."""
     import json
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
+    odd = [t["content"] for t in model["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd:
+        raise ValueError(f"added tokens that take spaces or whole words are not supported: {odd}")
+    added = {t["content"]: t["id"] for t in model["added_tokens"]}
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(spare)}
-    return {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
+    return {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in added}, added
 
 
 class Parts(dict):
@@ -49,9 +58,11 @@ class Parts(dict):
         self.encode = encode
 
     def __missing__(self, part):
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = ids = self.encode(" " + part) if part and part.strip() == part else None
+        ids = self.encode(" " + part) if part and part.strip() == part else None
+        if len(part) <= PART:
+            if len(self) >= CACHE:
+                self.clear()
+            self[part] = ids
         return ids
 
 
@@ -60,13 +71,14 @@ class Encoder:
 
     A text is cut before single spaces that stand between other characters; no token
     crosses such a place, so each part can be encoded by itself and remembered. A text
-    with any other space is encoded whole.
+    with any other space, or with an added token, is encoded whole.
     """
 
     def __init__(self, path, pattern):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_ranks(path), special_tokens={})
+        ranks, self.added = byte_ranks(path)
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
         self.known = Parts(self.whole)
 
     def whole(self, text):
@@ -75,6 +87,8 @@ class Encoder:
     def __call__(self, text):
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
         head, *tail = text.split(" ")
         if not head or head.strip() != head:
             return self.whole(text)
@@ -96,7 +110,7 @@ class Packer:
         offset = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.out.append((doc, start, n, zlib.crc32(ids), total, self.next, offset, None))
+            self.out.append((doc, start, n, zlib.crc32(ids), total, self.next, offset, None, None, None))
             offset += n
         self.next += 1
 
@@ -127,11 +141,11 @@ class Packer:
             self.emit(window[1])
             del self.open[at]
 
-    def leftovers(self):
-        """Pieces of the windows still open, with their ids and no sequence yet."""
-        for _, pieces in self.open:
-            for doc, start, ids, total in pieces:
-                self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, None, None, ids))
+    def leftovers(self, task):
+        """Pieces of the windows still open, with their ids, task and place, and no sequence yet."""
+        pieces = [p for _, own in self.open for p in own]
+        for place, (doc, start, ids, total) in enumerate(pieces):
+            self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, None, None, ids, task, place))
         self.open = []
 
     def pour(self):
@@ -154,7 +168,7 @@ class Packer:
     def batch(self):
         import pyarrow as pa
 
-        kinds = [pa.int64()] * 7 + [pa.binary()]
+        kinds = [pa.int64()] * 7 + [pa.binary(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in PIECES.split(", ")]
         columns = list(zip(*self.out, strict=True)) or [[] for _ in names]
         self.out = []
@@ -165,7 +179,8 @@ def _pack(path, pattern, end_id, window, open_windows):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, packer = Encoder(path, pattern), Packer(TaskContext.get().partitionId() << 40, window, open_windows)
+        task = TaskContext.get().partitionId()
+        encode, packer = Encoder(path, pattern), Packer(task << 40, window, open_windows)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -173,7 +188,7 @@ def _pack(path, pattern, end_id, window, open_windows):
                 packer.add(doc, 0, ids, len(ids) // 4)
                 if len(packer.out) > 20_000:
                     yield packer.batch()
-        packer.leftovers()
+        packer.leftovers(task)
         yield packer.batch()
 
     return run
@@ -181,15 +196,15 @@ def _pack(path, pattern, end_id, window, open_windows):
 
 def _merge(window, open_windows):
     def run(batches):
-        from pyspark import TaskContext
+        import itertools
 
-        packer = Packer((1 << 62) + (TaskContext.get().partitionId() << 40), window, open_windows)
-        for batch in batches:
-            for row in batch.to_pylist():
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for group, own in itertools.groupby(rows, key=lambda r: r["task"] // MERGE):
+            packer = Packer((1 << 62) + (group << 40), window, open_windows)
+            for row in own:
                 packer.add(row["doc_id"], row["start"], row["ids"], row["doc_tokens"])
+            packer.pour()
             yield packer.batch()
-        packer.pour()
-        yield packer.batch()
 
     return run
 
@@ -202,10 +217,12 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, window
     """
     rows = picked(docs, id_col, text_col)
     packed = stash(rows.mapInArrow(_pack(vocabulary, pattern, end_id, window, open_windows), PIECES))
-    groups = max(1, rows.rdd.getNumPartitions() // MERGE)
-    left = packed.where("sequence_id is null").select("doc_id", "start", "ids", "doc_tokens")
-    merged = left.repartition(groups).mapInArrow(_merge(window, open_windows), PIECES)
-    return packed.where("sequence_id is not null").unionByName(merged).drop("ids")
+    left = packed.where("sequence_id is null").select("doc_id", "start", "ids", "doc_tokens", "task", "place")
+    # Whole groups of MERGE tasks meet in one partition; the order of their pieces is that of tasks and places.
+    group = F.floor(F.col("task") / MERGE)
+    grouped = left.repartition(group).sortWithinPartitions("task", "place")
+    merged = grouped.mapInArrow(_merge(window, open_windows), PIECES)
+    return packed.where("sequence_id is not null").unionByName(merged).drop("ids", "task", "place")
 
 
 def padding(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
