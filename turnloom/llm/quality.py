@@ -1,19 +1,20 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word (with its case) and every character n-gram of NGRAMS bytes is hashed to one
-of BUCKETS vectors; a third table has vectors for word n-grams of three words, told
-apart by which of the words repeat. A document is the average of its vectors in each
-table, side by side; a softmax layer turns that into class probabilities. Vectors and
-layer are trained together by plain numpy stochastic gradient descent.
+Every word (with its case), every pair of neighbouring words and every character n-gram
+of NGRAMS bytes is hashed to one of BUCKETS vectors, in a table for each of the three. A
+document is the average of its vectors in each table, side by side; a softmax layer
+turns that into class probabilities. Vectors and layer are trained together by plain
+numpy stochastic gradient descent.
 
 Labels are learned from at most TRAIN_ROWS labelled rows, those with the smallest
 hash of their id; the executors turn them into hashed feature counts, and all of a
 row's features reach the driver, packed as two bytes of bucket and four of count. There
-are at most 2 * BUCKETS and a few of them a row, so what the driver holds is bounded
+are at most 3 * BUCKETS of them a row, so what the driver holds is bounded
 whatever the size of the corpus. Training and scoring read whole texts.
 
 Defined cases: null or empty text has no features and gets the score of the bias
-alone. Without labels, or with one class only, the score is the share of label 1 (0.5
+alone. An id with several labels counts with the largest; of several training texts
+with one id the least is learned from. Without labels, or with one class only, the score is the share of label 1 (0.5
 without labels). Rows repeated with one id are scored one by one. A null id is scored
 and never learned from. Labels, lang, source and ids are never inputs of a score.
 """
@@ -21,14 +22,15 @@ and never learned from. Labels, lang, source and ids are never inputs of a score
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._arrow import WordHasher, text_chunks
+from ._arrow import WordHasher, mix64, text_chunks
 from ._tables import crc_mod
 
 #: Rows of the training sample; hash buckets; length of the vectors; n-gram lengths in bytes.
 TRAIN_ROWS, BUCKETS, WIDTH, NGRAMS = 6000, 1 << 16, 8, (2, 3, 4)
 EPOCHS, RATE, SEED = 8, 0.5, 5
-COLUMNS = ("words", "word_counts", "grams", "gram_counts", "repeats", "repeat_counts")
+COLUMNS = ("words", "word_counts", "grams", "gram_counts", "pairs", "pair_counts")
 
 
 class Features:
@@ -41,17 +43,18 @@ class Features:
         """The features of each table in turn."""
         self.hashes, _, _, counts = self.hasher(data, offsets)
         self.doc = np.repeat(np.arange(len(counts)), counts)
-        return self.words(data, offsets), self.grams(data, offsets), self.repeats(data, offsets)
+        return self.words(data, offsets), self.grams(data, offsets), self.pairs()
 
     def words(self, data, offsets):
         """(document index, bucket) of every word."""
         return self.doc, (self.hashes >> np.uint64(48)).astype(np.int64) % BUCKETS
 
-    def repeats(self, data, offsets):
-        """(document index, bucket) of every run of three words in one text: which of them are equal."""
-        a, b, c = self.hashes[:-2], self.hashes[1:-1], self.hashes[2:]
-        whole = self.doc[:-2] == self.doc[2:]
-        return self.doc[:-2][whole], ((a == b) + 2 * (b == c) + 4 * (a == c)).astype(np.int64)[whole]
+    def pairs(self):
+        """(document index, bucket) of every two neighbouring words of one text; a word and itself are one pair, whichever word."""
+        whole = self.doc[:-1] == self.doc[1:]
+        mixed = mix64(self.hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[1:])
+        mixed[self.hashes[:-1] == self.hashes[1:]] = 0
+        return self.doc[:-1][whole], (mixed >> np.uint64(48)).astype(np.int64)[whole] % BUCKETS
 
     def grams(self, data, offsets):
         """(document index, bucket) of every n-gram that lies in one text."""
@@ -170,10 +173,10 @@ def _score(model):
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, learn) -> DataFrame:
     """(doc_id, text, label) of the rows to learn from; the few labels that count are joined by id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select("doc_id", "text").where(learn)
     picked = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    return rows.join(F.broadcast(picked), "doc_id")
+    return rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -193,7 +196,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, learn=None, id_col: str
     """The rows of ``docs`` whose text scores ``threshold`` at least, with all their columns."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train_quality(labelled_rows(rows, labels, "quality", F.lit(True) if learn is None else learn)))
-    names, kinds = docs.columns, docs.schema
-    packed = docs.select(F.lit(0).alias("k"), docs[text_col].cast("string").alias("t"), F.struct(*[docs[c] for c in names]).alias("row"))
-    scored = packed.mapInArrow(_score(model), f"doc_id int, row {kinds.simpleString()}, score double")
-    return scored.where(F.col("score") >= threshold).select("row.*")
+    names = docs.columns
+    packed = docs.select(F.lit(0).alias("k"), docs[text_col].cast("string").alias("t"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    scored = packed.mapInArrow(_score(model), T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("row", packed.schema["row"].dataType), T.StructField("score", T.DoubleType())]))
+    return scored.where(F.col("score") >= threshold).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
