@@ -1,25 +1,32 @@
 """Toxicity by weak supervision.
 
-Many simple voters look at each text: lexicons of words and of word beginnings, learned
-from the labels and dealt into several voters each, and patterns of form (shouting,
-exclamation marks, repeated marks, short texts). A voter says toxic (1), clean (0) or
-nothing. A generative label model estimates by expectation-maximisation how accurate
-each voter is, and from the correlations that remain given the class how much of its
-vote is its own; correlated voters share their weight. Its posterior labels train a
-linear classifier (logistic regression on which lexicon entries a text holds, numpy
-stochastic gradient descent), whose log odds are calibrated on the training labels.
+Many simple voters look at each text. Lexicon voters: one for each of FOLDS disjoint
+parts of the labelled rows, with the words that mark toxic texts in that part alone, so
+that it errs by itself; one for word beginnings; one for each list of insults in
+ADDRESSES' languages. Pattern voters: entries that are dense, that repeat, that stand
+near a second-person pronoun, and words masked by stars. One voter says clean where a
+text holds no entry at all. A voter votes or is silent.
+
+A generative label model explains the votes: within either class they follow a tree of
+pairwise dependencies (Chow-Liu: the spanning tree with the most mutual information), so
+correlated voters don't count twice. Expectation-maximisation estimates the rates of the
+votes, alone and along the tree, and the share of toxic texts, from the votes of all
+documents. Its posterior labels train a linear classifier (logistic regression on which
+lexicon entries a text holds, numpy stochastic gradient descent), whose log odds are
+calibrated on the training labels.
 
 At scale: labels are learned from at most LABELLED rows, those with the smallest hash of
-their id, so the ids that are broadcast stay bounded and no text is shuffled. Word and
-prefix counts by label are summed in Spark and only the LEXICON strongest are kept. Vote patterns are
-counted over all documents, and the counts of pairs of votes (voters squared numbers)
-plus a bounded number of frequent patterns reach the driver. The classifier is fitted
-on at most TRAIN_ROWS rows, half of them labelled at most, the rest any text.
-
-Defined cases: null or empty text has no features; every voter but the one for short
-texts is silent and the score is that of the bias. Without toxic labels the lexicons
-are empty and scores stay near the prior. A null id is scored and never learned from.
-Labels, lang, source and ids are never inputs of a score.
+their id, so the ids that are broadcast stay bounded. Word and beginning counts by label
+and part are summed in Spark and the LEXICON strongest are kept. Votes are counted over
+all documents; as each voter votes or is silent there are 2 ** voters patterns at most,
+and all of them reach the driver. The classifier is fitted on at most TRAIN_ROWS
+labelled rows.
+
+Defined cases: null or empty text has no features; only the voter for texts without
+entries speaks, and the score is that of the bias. Without toxic labels the lexicons are
+empty and scores stay near the prior. A null id is scored and never learned from. An id
+with several labels counts with the largest, and of several texts with one id the least
+is learned from. Labels, lang, source and ids are never inputs of a score.
 """
 
 import numpy as np
@@ -29,11 +36,20 @@ from pyspark.sql import functions as F
 from ._arrow import Tally, WordHasher, signed, text_chunks
 from ._tables import crc_mod, stash
 
-#: Entries of each learned lexicon; lexicon voters; rows the classifier sees; vote patterns kept; labelled rows learned from.
-LEXICON, VOTERS, TRAIN_ROWS, PATTERNS, LABELLED = 4096, 6, 12000, 20000, 40000
-#: Lengths of word beginnings in bytes; documents that must hold a lexicon entry; share of them that must be toxic.
-PREFIXES, LEAST, SHARE = (4, 5, 6, 7, 8), 3, 0.8
+#: Entries of the learned lexicon; disjoint parts of the labelled rows; rows the classifier is fitted on; labelled rows learned from.
+LEXICON, FOLDS, TRAIN_ROWS, LABELLED = 4096, 3, 12000, 40000
+#: Lengths of word beginnings in bytes; standard deviations by which an entry's toxic texts must exceed chance; share of its texts that must be toxic; toxic texts of a part that support it there; words between an entry and a pronoun.
+PREFIXES, SURE, SHARE, SUPPORT, NEAR = (4, 5, 6, 7, 8), 5.0, 0.8, 2, 3
 EPOCHS, RATE, SEED = 6, 0.3, 11
+#: Common insults by language.
+INSULTS = {
+    "en": ("idiot", "stupid", "moron", "dumb", "loser", "scum", "bastard", "bitch", "asshole", "jerk"),
+    "de": ("idiot", "dumm", "blöd", "depp", "trottel", "arschloch", "dreckskerl", "mistkerl", "schlampe", "versager"),
+    "fr": ("idiot", "stupide", "imbécile", "crétin", "connard", "salaud", "abruti", "débile", "ordure", "minable"),
+    "es": ("idiota", "estúpido", "imbécil", "tonto", "cabrón", "pendejo", "basura", "cretino", "inútil", "payaso"),
+}
+#: Second-person words by language.
+ADDRESSES = {"en": ("you", "your", "you're", "u", "ur"), "de": ("du", "dich", "dir", "dein", "deine", "ihr", "euch"), "fr": ("tu", "toi", "te", "ton", "vous", "votre"), "es": ("tú", "ti", "usted", "ustedes", "eres", "tuyo")}
 
 
 class Words:
@@ -50,7 +66,8 @@ class Words:
         hashes, starts, ends, counts = self.hasher(data, offsets)
         doc = np.repeat(np.arange(len(counts)), counts)
         folded = self.hasher.fold[data].astype(np.uint64)
-        keys, docs = [hashes], [doc]
+        # Keys of beginnings are odd, those of words even.
+        keys, docs = [hashes & ~np.uint64(1)], [doc]
         code = np.zeros(len(starts), dtype=np.uint64)
         for k in range(max(PREFIXES)):
             at = np.minimum(starts + k, max(len(data) - 1, 0))
@@ -58,7 +75,7 @@ class Words:
             if k + 1 in PREFIXES:
                 fits = ends - starts >= k + 1
                 value = (code[fits] ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                keys.append(value ^ (value >> np.uint64(29)))
+                keys.append((value ^ (value >> np.uint64(29))) | np.uint64(1))
                 docs.append(doc[fits])
         return np.concatenate(docs), np.concatenate(keys)
 
@@ -72,68 +89,103 @@ def distinct(doc, keys):
 
 
 def _evidence(batches):
-    """(key, label, n): documents of each label that hold the key."""
+    """(key, part, label, n): documents of each label and part that hold the key."""
     import pyarrow as pa
 
-    words, tallies = Words(), (Tally(), Tally())
+    words, tallies = Words(), [Tally() for _ in range(2 * FOLDS)]
     for batch in batches:
-        labels = np.asarray(batch.column(1))
+        group = np.asarray(batch.column(1)) + 2 * np.asarray(batch.column(2))
         for first, _, data, offsets in text_chunks(batch.column(0)):
             doc, keys = distinct(*words(data, offsets))
-            own = labels[first + doc]
-            for label in (0, 1):
-                tallies[label].add(keys[own == label])
-    for label, tally in enumerate(tallies):
+            own = group[first + doc]
+            for g, tally in enumerate(tallies):
+                tally.add(keys[own == g])
+    for g, tally in enumerate(tallies):
         keys, counts = tally.fold()
         for k in range(0, len(keys), 100_000):
             part = keys[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(part)), pa.array(np.full(len(part), label, np.int32)), pa.array(counts[k : k + 100_000].astype(np.int64))], ["key", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(part)), pa.array(np.full(len(part), g // 2, np.int32)), pa.array(np.full(len(part), g % 2, np.int32)), pa.array(counts[k : k + 100_000].astype(np.int64))], ["key", "part", "label", "n"])
 
 
-def learn_lexicon(labelled: DataFrame) -> np.ndarray:
-    """Sorted fingerprints of the words and beginnings that mark toxic texts."""
-    counts = labelled.select("text", "label").mapInArrow(_evidence, "key long, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n"))
-    strong = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= SHARE * F.col("n")))
-    top = strong.orderBy(F.desc(F.col("toxic") - 5 * (F.col("n") - F.col("toxic"))), "key").limit(LEXICON)
-    return np.sort(np.array([r["key"] for r in top.select("key").collect()], dtype=np.int64).view(np.uint64))
+def learn_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints of the words and beginnings that mark toxic texts, and a bit for each part in which they do."""
+    rows = labelled.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int").alias("part"))
+    counts = rows.mapInArrow(_evidence, "key long, part int, label int, n long").groupBy("key", "part").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n"))
+    prior = labelled.agg(F.avg("label").alias("p")).first()["p"] or 0.0
+    here = (F.col("toxic") >= SUPPORT) & (F.col("toxic") >= SHARE * F.col("n"))
+    entries = counts.groupBy("key").agg(F.sum(F.when(here, F.pow(F.lit(2), F.col("part"))).otherwise(0)).cast("long").alias("parts"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    excess = F.col("toxic") - prior * F.col("n")
+    entries = entries.where((F.col("toxic") >= SHARE * F.col("n")) & (excess > 0) & (excess * excess >= SURE**2 * prior * (1 - prior) * F.col("n"))).withColumn("weight", F.col("toxic") - 5 * (F.col("n") - F.col("toxic")))
+    top = sorted((r["key"] % 2**64, r["parts"]) for r in entries.orderBy(F.desc("weight"), "key").limit(LEXICON).collect())
+    return np.array([k for k, _ in top], dtype=np.uint64), np.array([p for _, p in top], dtype=np.int64)
 
 
 class Ballot:
-    """Votes of all voters for the texts of a chunk: 1 toxic, 0 clean, -1 silent."""
+    """Votes of all voters for the texts of a chunk, as 0 and 1; the last voter's says clean, the others' say toxic."""
 
-    NAMES = [f"lexicon {k}" for k in range(VOTERS)] + ["two entries", "dense entries", "no entry", "shouting", "exclamations", "symbols", "short"]
+    NAMES = [*(f"words of part {k}" for k in range(FOLDS)), "beginnings", *(f"insults {g}" for g in INSULTS), "dense", "repeated", "addressed", "masked", "no entry"]
 
     def __init__(self, lexicon):
-        self.lexicon, self.words = lexicon, Words()
+        (self.lexicon, self.parts), self.words = lexicon, Words()
+        known = lambda listed: np.unique(self.words(*joined(listed))[1][: len(listed)])
+        self.insults = [known(w) for w in INSULTS.values()]
+        self.address = known(sorted({w for ws in ADDRESSES.values() for w in ws if "'" not in w}))
 
     def __call__(self, data, offsets):
         n = len(offsets) - 1
         doc, keys = self.words(data, offsets)
-        votes = np.full((n, len(self.NAMES)), -1, dtype=np.int8)
+        votes = np.zeros((n, len(self.NAMES)), dtype=np.uint8)
+        hit, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         if len(self.lexicon):
             at = np.minimum(np.searchsorted(self.lexicon, keys), len(self.lexicon) - 1)
             hit = self.lexicon[at] == keys
-        else:
-            hit = np.zeros(len(keys), bool)
-        hits = np.bincount(doc[hit], minlength=n)
-        for k in range(VOTERS):
-            mine = hit & ((keys % np.uint64(VOTERS)) == np.uint64(k))
-            votes[np.bincount(doc[mine], minlength=n) > 0, k] = 1
-        size = np.maximum(np.bincount(doc, minlength=n), 1)
-        votes[hits >= 2, VOTERS] = 1
-        votes[hits / size >= 0.005, VOTERS + 1] = 1
-        votes[hits == 0, VOTERS + 2] = 0
-
-        def share(mask):
-            total = np.concatenate([[0], np.cumsum(mask)])
-            return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-
-        upper = share((data >= 65) & (data <= 90))
-        votes[upper > 0.5, VOTERS + 3] = 0
-        votes[share(data == 33) > 0.03, VOTERS + 4] = 0
-        votes[share((data >= 35) & (data <= 38)) > 0.02, VOTERS + 5] = 0
-        votes[np.diff(offsets) < 20, VOTERS + 6] = 0
-        return votes, distinct(doc[hit], at[hit] if len(self.lexicon) else keys[hit])
+        word = (keys & np.uint64(1)) == 0
+        whole = hit & word
+        for k in range(FOLDS):
+            votes[doc[whole][(self.parts[at[whole]] >> k) & 1 == 1], k] = 1
+        votes[doc[hit & ~word], FOLDS] = 1
+        own, own_doc = keys[word], doc[word]
+        marked = whole[word]
+        for k, listed in enumerate(self.insults):
+            found = np.isin(own, listed)
+            votes[own_doc[found], FOLDS + 1 + k] = 1
+            marked |= found
+        col = FOLDS + 1 + len(self.insults)
+        size = np.bincount(own_doc, minlength=n)
+        some = np.bincount(own_doc[marked], minlength=n)
+        votes[some >= 0.01 * np.maximum(size, 100), col] = 1
+        pairs = np.sort(own_doc[marked].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ own[marked])
+        again = np.isin(own_doc[marked].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ own[marked], pairs[1:][pairs[1:] == pairs[:-1]])
+        votes[own_doc[marked][again], col + 1] = 1
+        ends = np.cumsum(size)
+        seen = np.concatenate([[0], np.cumsum(np.isin(own, self.address))])
+        place = np.flatnonzero(marked)
+        near = seen[np.minimum(place + NEAR + 1, ends[own_doc[place]])] - seen[np.maximum(place - NEAR, ends[own_doc[place]] - size[own_doc[place]])]
+        votes[own_doc[place][near > 0], col + 2] = 1
+        votes[masked(data, offsets), col + 3] = 1
+        votes[(some == 0) & (np.bincount(doc[hit], minlength=n) == 0), col + 4] = 1
+        return votes, distinct(doc[hit], at[hit])
+
+
+def joined(words):
+    """(bytes, offsets) of a list of words as one text."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def masked(data, offsets):
+    """The texts with a word of letters around one to three stars."""
+    letter = (data | 32) - np.uint8(97) < 26
+    star = data == 42
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    found = []
+    for k in (1, 2, 3):
+        if len(data) > k + 1:
+            i = np.flatnonzero(letter[: -k - 1] & letter[k + 1 :] & star[1:-k])
+            for j in range(2, k + 1):
+                i = i[star[i + j]]
+            found.append(doc[i[doc[i] == doc[i + k + 1]]])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _patterns(model):
@@ -153,46 +205,55 @@ def _patterns(model):
 
 
 class LabelModel:
-    """Class-conditional vote rates by expectation-maximisation, and weights against correlation."""
+    """Class-conditional votes along a tree of pairs, and the share of toxic texts, by expectation-maximisation."""
 
     def __init__(self, votes, counts, prior):
-        toxic, clean, n = votes == 1, votes == 0, counts.astype(float)
-        m = votes.shape[1]
-        # To begin with every voter is fairly right: rates of saying toxic, clean and nothing under either class.
-        posterior = np.clip(np.where(toxic.any(axis=1), 0.9, np.where(clean.any(axis=1), 0.02, prior)), 0.01, 0.99)
-        self.weight = np.ones(m)
-        for _ in range(60):
-            self.rates = np.zeros((2, m, 3))
-            for label, p in ((0, 1 - posterior), (1, posterior)):
-                mass = (p * n).sum()
-                for k, said in enumerate((clean, toxic, ~toxic & ~clean)):
-                    self.rates[label, :, k] = ((p * n) @ said + 0.5) / (mass + 1.5)
-            self.prior = float(np.clip((posterior * n).sum() / n.sum(), 0.001, 0.5))
-            self.weight = 1 / (1 + self.residual_correlation(votes, posterior, n))
+        n, m = counts.astype(float), votes.shape[1]
+        said = votes[:, :-1].sum(axis=1)
+        # To begin with each vote for toxic counts for that, and the vote for clean against it.
+        posterior = np.where(said >= 2, 0.95, np.where(said == 1, 0.6, np.where(votes[:, -1] == 1, 0.01, prior)))
+        self.prior = prior
+        for _ in range(100):
+            self.fit(votes.astype(float), n, posterior, m)
             fresh = self.posterior(votes)
             if np.abs(fresh - posterior).max() < 1e-6:
                 break
             posterior = fresh
 
-    def residual_correlation(self, votes, posterior, n):
-        """For each voter, the sum of its squared correlations with the others given the class."""
-        spoken = (votes != -1).astype(float)
-        total = np.zeros(votes.shape[1])
-        for p in (1 - posterior, posterior):
+    def fit(self, votes, n, posterior, m):
+        self.alone, self.both = np.zeros((2, m)), np.zeros((2, m, m, 2, 2))
+        gain = np.zeros((m, m))
+        for y, p in ((0, 1 - posterior), (1, posterior)):
             w = p * n
-            mean = w @ spoken / max(w.sum(), 1e-9)
-            centred = spoken - mean
-            cov = (centred * w[:, None]).T @ centred / max(w.sum(), 1e-9)
-            deviation = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr = np.where(np.outer(deviation, deviation) > 1e-9, cov / np.outer(deviation, deviation), 0)
-            np.fill_diagonal(corr, 0)
-            total += (corr**2).sum(axis=1) / 2
-        return total
+            total = w.sum() + 2.0
+            self.alone[y] = (w @ votes + 1.0) / total
+            a = self.alone[y]
+            together = ((votes * w[:, None]).T @ votes + a[:, None] * a * 2.0) / total
+            joint = np.empty((m, m, 2, 2))
+            joint[..., 1, 1] = together
+            joint[..., 1, 0] = a[:, None] - together
+            joint[..., 0, 1] = a[None, :] - together
+            joint[..., 0, 0] = 1 - a[:, None] - a[None, :] + together
+            self.both[y] = joint = np.clip(joint, 1e-9, 1)
+            single = np.stack([1 - a, a], axis=-1)
+            gain += w.sum() / n.sum() * (joint * (np.log(joint) - np.log(single[:, None, :, None]) - np.log(single[None, :, None, :]))).sum(axis=(2, 3))
+        self.prior = float(np.clip((posterior * n).sum() / n.sum(), 0.001, 0.5))
+        # Prim's spanning tree with the largest gains.
+        self.tree, inside = [], [0]
+        while len(inside) < m:
+            out = [j for j in range(m) if j not in inside]
+            _, i, j = max((gain[i, j], -i, -j) for i in inside for j in out)
+            self.tree.append((-i, -j))
+            inside.append(-j)
 
     def posterior(self, votes):
-        said = np.where(votes == -1, 2, votes).astype(int)
-        ratio = np.log(self.rates[1]) - np.log(self.rates[0])
-        odds = np.log(self.prior / (1 - self.prior)) + sum(self.weight[k] * ratio[k, said[:, k]] for k in range(votes.shape[1]))
+        v = votes.astype(int)
+        odds = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for y, sign in ((1, 1), (0, -1)):
+            single = np.log(np.stack([1 - self.alone[y], self.alone[y]], axis=-1))
+            odds += sign * single[0, v[:, 0]]
+            for i, j in self.tree:
+                odds += sign * (np.log(self.both[y][i, j][v[:, i], v[:, j]]) - single[i, v[:, i]])
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -250,31 +311,26 @@ def calibrate(odds, labels):
 def train_toxicity(rows: DataFrame, labels: DataFrame, learn, label_col: str = "toxic"):
     """(lexicon, weights, bias) of the linear classifier, from all rows (doc_id, text) and the labels that may be learned from."""
     context = rows.sparkSession.sparkContext
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).where(learn)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").where(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = stash(known.orderBy(*order).limit(LABELLED))
-    labelled = stash(rows.where(learn).join(F.broadcast(known), "doc_id"))
+    labelled = stash(rows.where(learn).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     lexicon = context.broadcast(learn_lexicon(labelled))
-    seen = rows.select("text").mapInArrow(_patterns(lexicon), "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(PATTERNS).collect()
-    prior = labelled.agg(F.avg("label").alias("p"), F.count("*").alias("n")).first()
-    votes = np.array([np.frombuffer(r["votes"], np.int8) for r in seen]).reshape(len(seen), len(Ballot.NAMES))
-    counts = np.array([r["n"] for r in seen])
-    if not len(votes):
-        return lexicon, np.zeros(len(lexicon.value)), -3.0
-    judge = LabelModel(votes, counts, prior["p"] if prior["p"] is not None else 0.05)
-    half = labelled.join(F.broadcast(known.orderBy(*order).limit(TRAIN_ROWS // 2).select("doc_id")), "doc_id", "left_semi").select("text", "label", "doc_id")
-    share = min(1.0, TRAIN_ROWS / 2 / max(1, int(counts.sum())))
-    # About TRAIN_ROWS / 2 texts by hash, then at most that many.
-    ids = rows.where(learn).where("doc_id is not null").select("doc_id").where(F.abs(F.xxhash64("doc_id") / F.lit(2.0**63)) <= 1.5 * share)
-    near = rows.join(F.broadcast(ids.orderBy(*order).limit(TRAIN_ROWS // 2)), "doc_id", "left_semi").select("text", F.lit(None).cast("int").alias("label"), "doc_id")
-    table = half.unionByName(near).mapInArrow(_training_rows(lexicon), "doc_id long, label int, votes binary, ids array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    own = np.array([np.frombuffer(v.as_py(), np.int8) for v in table.column("votes")]).reshape(len(table), len(Ballot.NAMES))
+    entries = len(lexicon.value[0])
+    seen = rows.select("text").mapInArrow(_patterns(lexicon), "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    prior = labelled.agg(F.avg("label").alias("p")).first()["p"]
+    if not seen:
+        return lexicon, np.zeros(entries), -3.0
+    votes = np.array([np.frombuffer(r["votes"], np.uint8) for r in seen]).reshape(len(seen), len(Ballot.NAMES))
+    judge = LabelModel(votes, np.array([r["n"] for r in seen]), float(np.clip(0.05 if prior is None else prior, 0.001, 0.5)))
+    sample = labelled.orderBy(*order).limit(TRAIN_ROWS).select("text", "label", "doc_id")
+    table = sample.mapInArrow(_training_rows(lexicon), "doc_id long, label int, votes binary, ids array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    own = np.array([np.frombuffer(v.as_py(), np.uint8) for v in table.column("votes")], dtype=np.uint8).reshape(len(table), len(Ballot.NAMES))
     features = [np.asarray(x.values) for x in table.column("ids")]
-    truth = np.array([-1 if v is None else v for v in table.column("label").to_pylist()])
-    weights, bias = fit_linear(features, judge.posterior(own), len(lexicon.value))
-    at = np.flatnonzero(truth >= 0)
-    odds = np.array([bias + weights[features[i]].sum() for i in at])
-    slope, offset = calibrate(odds, truth[at])
+    truth = np.array(table.column("label").to_pylist(), dtype=int)
+    weights, bias = fit_linear(features, judge.posterior(own), entries)
+    odds = np.array([bias + weights[ids].sum() for ids in features])
+    slope, offset = calibrate(odds, truth)
     return lexicon, slope * weights, slope * bias + offset
 
 
