@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark):
@@ -25,10 +24,11 @@ def shared_dir(spark):
 def stash(df):
     """Write a table to the shared folder and read it back: its lineage ends there.
 
-    Lost executors cost a reread, not the work before it.
+    Lost executors cost a reread, not the work before it. All tables of an application
+    lie below one folder named after it, which can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/turnloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/turnloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,5 +48,9 @@ def picked(docs, id_col="doc_id", text_col="text", **more):
     return docs.select(*cols, *[docs[v].alias(k) if isinstance(v, str) else v.alias(k) for k, v in more.items()])
 
 
-def schema_of(text):
-    return T._parse_datatype_string(text)
+def unused(docs, stem):
+    """A column name that the table doesn't have, whatever the case of its letters."""
+    names = {c.lower() for c in docs.columns}
+    while stem.lower() in names:
+        stem += "_"
+    return stem

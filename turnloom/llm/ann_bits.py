@@ -7,17 +7,20 @@ bias, and its error is at most BOUND * sqrt((1 - c*c) / c*c) / sqrt(d - 1) with
 probability, c being the first scalar. Only vectors whose estimate plus bound reaches
 the query's k-th best exact cosine so far are reranked in double precision.
 
-At scale: the index is one scan, no model is fitted. Queries go in blocks of about
-BLOCK rows (checked size), each broadcast to a scan of the index; every task keeps k
-rows per query, so the last step sees tasks x queries x k rows, whatever the corpus.
+At scale: the index is one table, no model is fitted. Queries go in blocks of about
+BLOCK rows (checked size), one block at a time: it is broadcast to a scan of the index,
+its hits are written, and it is released before the next. Every task keeps k rows per
+query, so the last step sees tasks x queries x k rows, whatever the corpus.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
-no part, nor do those of another length than the most common one (ties: the longer).
-Equal scores go to the smaller id. A query's own id is never among its answers, also
+no part. Vectors are compared with those of their own length. An id that is queried
+with several vectors asks with the least of them. Equal scores go to the smaller id. A query's own id is never among its answers, also
 where rows repeat it. Repeated rows are answers each. Null ids take no part. Fewer
 than k candidates: all are returned. Other columns are ignored.
 """
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 from ._tables import stash
 
 #: Width of the error bound in standard deviations; rows of a query block; seed of the rotation.
-BOUND, BLOCK, SEED = 3.0, 4096, 29
+BOUND, BLOCK, SEED = 3.5, 4096, 29
 #: Index rows compared with the queries at once inside a task; pairs reranked at once.
 ROWS, PAIRS = 512, 1 << 15
+HITS = "query_id long, vec_id long, score double"
 
 
 def rotation(d):
@@ -120,28 +124,28 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & whole.isNotNull() & (F.size(whole) > 0)).where(finite).where(F.exists(whole, lambda x: x != 0))
 
 
+def _hits(rows, d, is_query, k):
+    """Hits (query_id, vec_id, score) of each block of queries among rows of length d, written one block after the other."""
+    context = rows.sparkSession.sparkContext
+    index = stash(rows.mapInArrow(_codes(d), "vec_id long, vector array<double>, code binary, own double, norm double"))
+    queries = stash(index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    blocks = -(-queries.count() // BLOCK)
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
+        if len(own):
+            block = context.broadcast((np.asarray(own.column("vec_id")), np.array([np.asarray(v.values, dtype=np.float64) for v in own.column("vector")])))
+            yield stash(index.mapInArrow(_search(block, d, k), HITS))
+            block.destroy()
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row where ``is_query`` (of vec_id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    d = sizes[0]["d"]
-    index = stash(rows.where(F.size("vector") == d).mapInArrow(_codes(d), "vec_id long, vector array<double>, code binary, own double, norm double"))
-    queries = index.where(is_query).select("vec_id", "vector").dropDuplicates(["vec_id"])
-    blocks = -(-queries.count() // BLOCK)
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        if not len(own):
-            continue
-        ids = np.asarray(own.column("vec_id"))
-        block = spark.sparkContext.broadcast((ids, np.array([np.asarray(v.values, dtype=np.float64) for v in own.column("vector")])))
-        part = index.mapInArrow(_search(block, d, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+    empty = spark.createDataFrame([], HITS)
+    found = [hits for r in rows.select(F.size("vector").alias("d")).distinct().orderBy("d").collect() for hits in _hits(rows.where(F.size("vector") == r["d"]), r["d"], is_query, k)]
+    if not found:
+        return empty.selectExpr("query_id", "0 as rank", "vec_id", "score")
+    found = functools.reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ table gives an empty result. Other columns of the input are ignored.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import picked, stash
+from ._tables import picked, stash, unused
 
 #: Counters of a sketch, and the most candidates taken from it: the broadcast is bounded by these.
 SKETCH_ITEMS, HEAVY_DIGESTS = 4096, 1024
@@ -58,8 +58,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.select("*", docs[id_col].cast("long").alias("__doc"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256).alias("__digest"))
-    left = tagged.join(kept, tagged["__doc"].eqNullSafe(kept["__id"]) & (tagged["__digest"] == kept["__sha"]), "left_semi")
-    return left.dropDuplicates(["__doc", "__digest"]).drop("__doc", "__digest")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows that agree in id and text but not in other columns, any one stays. Columns
+    of any name pass through.
+    """
+    doc, digest, own, sha = (unused(docs, x) for x in ("doc__", "digest__", "own__", "sha__"))
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    tagged = docs.select("*", docs[id_col].cast("long").alias(doc), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256).alias(digest))
+    left = tagged.join(kept, F.col(doc).eqNullSafe(F.col(own)) & (F.col(digest) == F.col(sha)), "left_semi")
+    return left.dropDuplicates([doc, digest]).drop(doc, digest)

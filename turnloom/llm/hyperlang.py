@@ -8,7 +8,8 @@ has the largest cosine with its own vector.
 
 Letters are any characters that Unicode counts as letters, lower-cased; anything else
 is a gap between words and has a class of its own. Letters beyond a-z share OTHERS
-classes by code point, so the number of trigrams is bounded and the table of their
+classes by code point (more than an alphabet has, so that the letters of one script
+mostly differ), so the number of trigrams is bounded and the table of their
 vectors is built inside each task from a seed. Prototypes are summed in Spark and
 collected: languages x DIMENSIONS numbers.
 
@@ -22,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import text_chunks
+from ._arrow import Tally, text_chunks
 from ._tables import crc_mod
 
 #: Length of the vectors; classes of letters beyond a-z; seed of the random vectors.
-DIMENSIONS, OTHERS, SEED = 512, 37, 17
+DIMENSIONS, OTHERS, SEED = 512, 101, 17
 CLASSES = 27 + OTHERS
 
 
@@ -86,14 +87,13 @@ def _bundle(batches):
             for i in range(len(offsets) - 1):
                 found = encoder.trigrams(data[offsets[i] : offsets[i + 1]])
                 if found is not None:
-                    tally = sums.setdefault(langs[first + i], np.zeros(CLASSES**3, dtype=np.int64))
-                    tally[found[0]] += found[1]
+                    sums.setdefault(langs[first + i], Tally(200_000)).add(*found)
     for lang, tally in sums.items():
-        keys = np.flatnonzero(tally)
+        keys, counts = tally.fold()
         value = np.zeros(DIMENSIONS)
         for k in range(0, len(keys), 4096):
             part = keys[k : k + 4096]
-            value += tally[part].astype(np.float64) @ (encoder.pairs[part // CLASSES] * encoder.letters[part % CLASSES])
+            value += counts[k : k + 4096].astype(np.float64) @ (encoder.pairs[part // CLASSES] * encoder.letters[part % CLASSES])
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(value)], ["lang", "place", "value"])
 
 

@@ -17,7 +17,7 @@
 
 Defined cases: text that is null, empty or without words has no shingles, links with
 nothing and is kept. A text with fewer words than a shingle is one shingle. Rows
-repeated with one id form one class. A null id is kept, with a null component. An
+repeated with one id form one class; where their texts differ the least is compared. A null id is kept, with a null component. An
 empty table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import WordHasher, mix64, text_chunks
-from ._tables import picked, stash
+from ._tables import picked, stash, unused
 
 #: Hashes of a signature; trees of the forest, each with its own order; hashes that neighbours share at least.
 HASHES, TREES, DEPTH = 80, 20, 4
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = stash(classes.select("doc_id", "signature").mapInArrow(_tree_rows, "tree int, near long, far long, doc_id long"))
     found = stash(candidate_pairs(forest.withColumn("comp", F.col("doc_id"))))
     needed = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-    named = rows.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = rows.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = stash(named.mapInArrow(_sets(words), "doc_id long, members binary"))
     links = confirmed(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
     roots = components(links)
@@ -311,8 +311,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    tagged = docs.withColumn("__doc", docs[id_col].cast("long"))
-    stay = tagged.where("__doc is not null").join(kept, F.col("__doc") == F.col("__id"), "left_semi").dropDuplicates(["__doc"])
-    return stay.unionByName(tagged.where("__doc is null")).drop("__doc")
+    """The rows of ``docs`` that stay, one of each component, with all their columns.
+
+    Of rows with one id any one stays; rows without an id all stay. Columns of any name
+    pass through.
+    """
+    doc, own = unused(docs, "doc__"), unused(docs, "own__")
+    kept = near_duplicates(docs, id_col, text_col, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(own))
+    tagged = docs.select("*", docs[id_col].cast("long").alias(doc))
+    stay = tagged.where(F.col(doc).isNotNull()).join(kept, F.col(doc) == F.col(own), "left_semi").dropDuplicates([doc])
+    return stay.unionByName(tagged.where(F.col(doc).isNull())).drop(doc)
