@@ -107,7 +107,7 @@ class Fold:
                 left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if left is not None and right is not None:
                     pair = character(left) + character(right)
-                    pairs[pair] = character(rank) + pair
+                    pairs[pair] = character(rank)
         self.pairs = bucketed(pairs, RANK_BUCKETS, "string", spark)
         sizes = [0] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
@@ -115,7 +115,7 @@ class Fold:
         self.sizes = F.from_json(F.lit(json.dumps(sizes)), "array<int>")
 
     def ranked(self, pair):
-        return F.coalesce(looked_up(self.pairs, pair, RANK_BUCKETS), F.concat(F.lit(NEVER), pair))
+        return F.concat(F.coalesce(looked_up(self.pairs, pair, RANK_BUCKETS), F.lit(NEVER)), pair)
 
     def step(self, pairs, _):
         def merge(low):
@@ -124,10 +124,7 @@ class Fold:
                 before = F.concat(F.substring(F.get(pairs, k - 2), 2, 1), new)
                 after = F.concat(new, F.substring(F.get(pairs, k), 3, 1))
 
-                def renewed(x, y):
-                    return F.flatten(F.array(F.slice(pairs, F.lit(1), k - 2), F.array(self.ranked(x), self.ranked(y)), F.slice(pairs, k + 2, F.lit(MOST))))
-
-                return let(before, pairs, lambda x: let(after, pairs, lambda y: renewed(x, y)))
+                return F.flatten(F.array(F.slice(pairs, F.lit(1), k - 2), F.transform(F.array(before, after), self.ranked), F.slice(pairs, k + 2, F.lit(MOST))))
 
             return F.when(low >= NEVER, pairs).otherwise(let(F.find_in_set(low, F.array_join(pairs, ",")), pairs, at))
 
@@ -147,28 +144,38 @@ class Fold:
         step = lambda s, i: F.struct((s["at"] + F.get(self.sizes, i)).alias("at"), F.array_append(s["out"], F.shiftleft(s["at"], 32) + i).alias("out"))
         return F.aggregate(ids, start, step, lambda s: s["out"])
 
-    def in_blocks(self, raw):
-        """Ids of a long byte string, joined from those of overlapping blocks."""
-        none, half = F.array().cast("array<int>"), BLOCK // 2
-        begins = F.sequence(F.lit(0), F.length(raw) - half - 1, F.lit(half))
-        blocks = F.transform(begins, lambda b: self.placed(self.folded(F.substring(raw, b + 1, F.lit(BLOCK))), b))
+    def joined(self, blocks, half):
+        """Ids of a byte string from those of its blocks, which overlap by half; null if two neighbours share no piece."""
+        none = F.array().cast("array<int>")
+        placed = F.transform(blocks, lambda ids, j: self.placed(ids, j * half))
 
-        def joined(blocks):
-            shared = F.transform(F.sequence(F.lit(1), F.size(blocks) - 1), lambda j: F.array_min(F.array_intersect(F.get(blocks, j - 1), F.get(blocks, j))))
+        def cut(placed):
+            shared = F.transform(F.sequence(F.lit(1), F.size(placed) - 1), lambda j: F.array_min(F.array_intersect(F.get(placed, j - 1), F.get(placed, j))))
 
-            def cut(shared):
+            def at(shared):
                 own = lambda b, j: F.filter(b, lambda x: (x >= F.coalesce(F.get(shared, j - 1), F.lit(0))) & (x < F.coalesce(F.get(shared, j), F.lit(2**62))))
-                ids = F.transform(F.flatten(F.transform(blocks, own)), lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
-                return F.when(F.exists(shared, lambda x: x.isNull()), self.folded(raw)).otherwise(ids)
+                ids = F.transform(F.flatten(F.transform(placed, own)), lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
+                return F.when(~F.exists(shared, lambda x: x.isNull()), ids)
 
-            return let(shared, none, cut)
+            return let(shared, none, at)
 
-        return let(blocks, none, joined)
+        return let(placed, none, cut)
 
     def __call__(self, word):
-        """Ids of a word of text."""
+        """Ids of a word of text: in blocks of BLOCK bytes, or else as one block."""
         none = F.array().cast("array<int>")
-        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), none, lambda raw: F.when(F.length(raw) <= BLOCK, self.folded(raw)).otherwise(self.in_blocks(raw)))
+
+        def of_bytes(raw):
+            def tried(ids, size):
+                half = F.shiftright(size, 1)
+                begins = F.sequence(F.lit(0), F.greatest(F.length(raw) - half - 1, F.lit(0)), half)
+                blocks = F.transform(begins, lambda b: self.folded(F.substring(raw, b + 1, size)))
+                merged = let(blocks, none, lambda blocks: F.when(F.size(blocks) == 1, F.get(blocks, F.lit(0))).otherwise(self.joined(blocks, half)))
+                return F.when(ids.isNotNull(), ids).otherwise(merged)
+
+            return F.aggregate(F.array(F.lit(BLOCK), F.lit(MOST)), F.lit(None).cast("array<int>"), tried)
+
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), none, of_bytes)
 
 
 def frequent_words(texts: DataFrame, limit: int = WORDS) -> DataFrame:
