@@ -64,7 +64,7 @@ FOUND = {
     "ip": r"\d(?<![\w.]\d)\d{0,2}(?:\.\d{1,3}){3}(?![\w]|\.\d)|[0-9a-fA-F:](?<![\w:.].)[0-9a-fA-F:]*:[0-9a-fA-F:]*(?![\w:]|\.\d)",
     "ssn": r"\d(?<![\w.-]\d)\d\d-\d\d-\d{4}(?![\w-])",
     "card": r"[3-6](?<![\w.-]\d)\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
-    "phone": r"[+(](?<![\w.+].)(?:(?<=\+)\d{1,3}[ .-]?\(|(?<=\())\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|\+(?<![\w.+].)(?:\d{7,15}|\d{1,3}(?:[ .-]\d{2,4}){2,5})(?!\w)|\d(?<![\w.+-]\d)(?:\d{2}([.-])\d{3}\1\d{4}|\d{2} \d{3} \d{4}|(?<=0)\d{2,4}[ /-]\d{5,8})(?!\w)",
+    "phone": r"[+(](?<![\w.+].)(?:(?<=\+)\d{1,3}[ .-]?\(|(?<=\())\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|\+(?<![\w.+].)(?:\d{7,15}|\d{1,3}(?:[ .-]\d{1,4}){2,6})(?!\w)|\d(?<![\w.+-]\d)(?:\d{2}([.-])\d{3}\1\d{4}|\d{2} \d{3} \d{4}|(?<=0)\d{2,4}[ /-]\d{5,8})(?!\w)",
     "name": r"(?:" + HONORIFIC + r")\.? [^\W\d_a-zà-öø-ÿ][^\W\d_]+(?: [^\W\d_a-zà-öø-ÿ][^\W\d_]+)?",
 }
 UPPER, LOWER, DIGITS, HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"

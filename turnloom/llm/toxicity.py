@@ -4,8 +4,8 @@ Many simple voters look at each text. Lexicon voters: one for each of FOLDS disj
 parts of the labelled rows, with the words that mark toxic texts in that part alone, so
 that it errs by itself; one for word beginnings; one for each list of insults in
 ADDRESSES' languages. Pattern voters: entries that are dense, that repeat, that stand
-near a second-person pronoun, and words masked by stars. One voter says clean where a
-text holds no entry at all. A voter votes or is silent.
+near a second-person pronoun, and words masked by stars. A voter says toxic or is
+silent; how much its silence speaks for a clean text is estimated too.
 
 A generative label model explains the votes: within either class they follow a tree of
 pairwise dependencies (Chow-Liu: the spanning tree with the most mutual information), so
@@ -22,8 +22,8 @@ all documents; as each voter votes or is silent there are 2 ** voters patterns a
 and all of them reach the driver. The classifier is fitted on at most TRAIN_ROWS
 labelled rows.
 
-Defined cases: null or empty text has no features; only the voter for texts without
-entries speaks, and the score is that of the bias. Without toxic labels the lexicons are
+Defined cases: null or empty text has no features; all voters are silent, and the score
+is that of the bias. Without toxic labels the lexicons are
 empty and scores stay near the prior. A null id is scored and never learned from. An id
 with several labels counts with the largest, and of several texts with one id the least
 is learned from. Labels, lang, source and ids are never inputs of a score.
@@ -121,9 +121,9 @@ def learn_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ballot:
-    """Votes of all voters for the texts of a chunk, as 0 and 1; the last voter's says clean, the others' say toxic."""
+    """Votes of all voters for the texts of a chunk, as 0 and 1."""
 
-    NAMES = [*(f"words of part {k}" for k in range(FOLDS)), "beginnings", *(f"insults {g}" for g in INSULTS), "dense", "repeated", "addressed", "masked", "no entry"]
+    NAMES = [*(f"words of part {k}" for k in range(FOLDS)), "beginnings", *(f"insults {g}" for g in INSULTS), "dense", "repeated", "addressed", "masked"]
 
     def __init__(self, lexicon):
         (self.lexicon, self.parts), self.words = lexicon, Words()
@@ -163,7 +163,6 @@ class Ballot:
         near = seen[np.minimum(place + NEAR + 1, ends[own_doc[place]])] - seen[np.maximum(place - NEAR, ends[own_doc[place]] - size[own_doc[place]])]
         votes[own_doc[place][near > 0], col + 2] = 1
         votes[masked(data, offsets), col + 3] = 1
-        votes[(some == 0) & (np.bincount(doc[hit], minlength=n) == 0), col + 4] = 1
         return votes, distinct(doc[hit], at[hit])
 
 
@@ -209,9 +208,10 @@ class LabelModel:
 
     def __init__(self, votes, counts, prior):
         n, m = counts.astype(float), votes.shape[1]
-        said = votes[:, :-1].sum(axis=1)
-        # To begin with each vote for toxic counts for that, and the vote for clean against it.
-        posterior = np.where(said >= 2, 0.95, np.where(said == 1, 0.6, np.where(votes[:, -1] == 1, 0.01, prior)))
+        said = votes.sum(axis=1)
+        # To begin with every voter speaks on three toxic texts in ten and on three clean ones in a hundred.
+        odds = np.log(prior / (1 - prior)) + said * np.log(0.3 / 0.03) + (m - said) * np.log(0.7 / 0.97)
+        posterior = 1 / (1 + np.exp(-odds))
         self.prior = prior
         for _ in range(100):
             self.fit(votes.astype(float), n, posterior, m)
