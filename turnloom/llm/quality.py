@@ -8,7 +8,7 @@ numpy stochastic gradient descent.
 
 Labels are learned from at most TRAIN_ROWS labelled rows, those with the smallest
 hash of their id; the executors turn them into hashed feature counts, and all of a
-row's features reach the driver, packed as two bytes of bucket and four of count. There
+row's features reach the driver, compressed, to be unpacked one row at a time. There
 are at most 3 * BUCKETS of them a row, so what the driver holds is bounded
 whatever the size of the corpus. Training and scoring read whole texts.
 
@@ -19,6 +19,8 @@ without labels). Rows repeated with one id are scored one by one. A null id is s
 and never learned from. Labels, lang, source and ids are never inputs of a score.
 """
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +82,8 @@ def _sample_features(batches):
 
     def counted(ids):
         ids, counts = np.unique(ids, return_counts=True)
-        return ids.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
+        steps = np.diff(ids, prepend=0)
+        return zlib.compress(steps.astype("<u2").tobytes(), 1), zlib.compress(counts.astype("<u4").tobytes(), 1)
 
     for batch in batches:
         out = [[] for _ in range(6)]
@@ -94,6 +97,20 @@ def _sample_features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "label", *COLUMNS])
 
 
+class Rows:
+    """Training rows as they came, unpacked one by one: (ids, counts) of each kind of feature."""
+
+    def __init__(self, columns, order):
+        self.columns, self.order = columns, order
+
+    def __len__(self):
+        return len(self.order)
+
+    def __getitem__(self, i):
+        steps, counts = ([np.frombuffer(zlib.decompress(c[self.order[i]].as_buffer()), kind) for c in self.columns[k::2]] for k, kind in ((0, "<u2"), (1, "<u4")))
+        return [(np.cumsum(x, dtype=np.int64), y) for x, y in zip(steps, counts, strict=True)]
+
+
 class Embeddings:
     """Vectors of three kinds of features with a softmax over two classes."""
 
@@ -143,10 +160,7 @@ def train_quality(labelled: DataFrame) -> tuple[list[np.ndarray], float]:
     share = float(labels.mean()) if len(labels) else 0.5
     model = Embeddings(share)
     if len(set(labels.tolist())) == 2:
-        # Views of the collected buffers, not copies.
-        columns = [[np.frombuffer(x.as_buffer(), kind) if x.as_buffer().size else np.zeros(0, kind) for x in table.column(c)] for c, kind in zip(COLUMNS, ("<u2", "<u4") * 3, strict=True)]
-        rows = [[(x[k], x[k + 1]) for k in (0, 2, 4)] for x in zip(*columns, strict=True)]
-        model.fit([rows[i] for i in order], labels)
+        model.fit(Rows([table.column(c) for c in COLUMNS], order), labels)
     return model.weights()
 
 
