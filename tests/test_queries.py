@@ -56,6 +56,41 @@ def test_searches_cover_every_twentieth_row_and_all_labels(spark, name, key, k):
     assert all(math.isclose(got[q][v], want[q][v], abs_tol=2e-6) for q in want for v in want[q])
 
 
+CASES = [
+    ("the cat sat", "The cat, sat!"), (None, "x"), ("", ""), ("a an the", "the"), ("我爱北京", "北京 ok"), ("go go go stop", "go stop"), ("Iechä da", "iechä"), ("日本語 test１", "日本 test"),
+    ("one, two; three", "two two three four"), ("it's", "its"), ("and so on", "so on"), ("全角！标点", "全角标点"), ("  spaced\tout\nwords ", "words out"), ("x", "y"), ("?!", "..."), ("한국어 말", "한국말"),
+]
+
+
+def plain_tokens(text):
+    import re
+    import unicodedata
+
+    cjk = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
+    low = "".join(" " if unicodedata.category(c).startswith("P") or c in "$+<=>^`|~" else c for c in (text or "").lower())
+    chunks = [re.findall(f"[a-z0-9]+|[{cjk}]", c) if re.search(f"[{cjk}]", c) else [c] for c in low.split()]
+    return [t for c in chunks for t in c if t not in ("a", "an", "the")]
+
+
+def test_answer_scores_on_fixtures(spark, tmp_path):
+    """Nulls, empty texts, articles, repeated words and texts without spaces, against plain Python."""
+    import collections
+    import re
+
+    rows = [(k, t, r, x) for k, pair in enumerate(CASES) for t, r, x in ((0, "user", pair[0]), (1, "assistant", pair[1]))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {name: {r.conv_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("o274_answer_set_f1", "o275_smoothed_bleu1", "o282_bag_f1_of_quoted_words")}
+    for k, (gold, said) in enumerate(CASES):
+        g, s = plain_tokens(gold), plain_tokens(said)
+        both = len(set(g) & set(s))
+        assert math.isclose(got["o274_answer_set_f1"][k].f1, 2 * both / (len(set(g)) + len(set(s))) if g and s else 0, abs_tol=1e-9)
+        m = sum((collections.Counter(g) & collections.Counter(s)).values())
+        assert math.isclose(got["o275_smoothed_bleu1"][k].bleu1, m / len(s) * (1 if len(s) > len(g) else math.exp(1 - len(g) / len(s))) if m else 0, abs_tol=1e-9)
+        g, s = (re.findall("[a-z0-9']+", (x or "").lower()) for x in (gold, said))
+        m = sum((collections.Counter(g) & collections.Counter(s)).values())
+        assert math.isclose(got["o282_bag_f1_of_quoted_words"][k].f1, 1 if not g and not s else 2 * m / (len(g) + len(s)) if m else 0, abs_tol=1e-9)
+
+
 def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
 

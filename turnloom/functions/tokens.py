@@ -3,7 +3,7 @@
 from turnloom.sql import Query
 
 QUERIES = [
-    Query("o264_tokens", "SELECT doc_id, {size({tokens(text)})} AS n, {joined({head({tokens(text)};20)}; )} AS first_tokens FROM documents"),
+    Query("o264_tokens", "SELECT doc_id, {size({tokens(text)})} AS n, {joined({tokens(text)}; )} AS all_tokens FROM documents"),
     Query("o265_content_tokens", """
         SELECT conv_id, turn, count(*) AS n, count(DISTINCT tok) AS kinds FROM conversations {explode({tokens(text)})}
         WHERE length(tok) > 2 AND tok NOT IN ('the', 'and', 'for', 'are', 'was', 'with', 'that', 'this', 'you', 'not') GROUP BY conv_id, turn"""),

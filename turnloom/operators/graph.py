@@ -5,7 +5,7 @@ from turnloom.sql import Query
 EDGES = "e AS (SELECT DISTINCT l.l_suppkey AS s, l.l_partkey AS p FROM lineitem l)"
 
 QUERIES = [
-    Query("o130_degrees", f"WITH {EDGES} SELECT s AS node, count(*) AS degree, min(p) AS first_neighbour FROM e GROUP BY s"),
+    Query("x_degrees", f"WITH {EDGES} SELECT s AS node, count(*) AS degree, min(p) AS first_neighbour FROM e GROUP BY s"),
     Query("o132_two_hop_neighbours", f"""
         WITH {EDGES}, start AS (SELECT min(s) AS s FROM e), one AS (SELECT DISTINCT e.p FROM e JOIN start ON e.s = start.s)
         SELECT DISTINCT e.s AS neighbour, 2 AS hops FROM e JOIN one ON e.p = one.p WHERE e.s <> (SELECT s FROM start)"""),
@@ -14,13 +14,13 @@ QUERIES = [
             SELECT conv_id, turn, turn, 0 FROM conversations WHERE turn = 0
             UNION ALL SELECT c.conv_id, c.turn, u.root, u.depth + 1 FROM conversations c JOIN up u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1)
         SELECT conv_id, turn, root, depth FROM up"""),
-    Query("o134_common_neighbours", f"""
-        WITH {EDGES}, c AS (SELECT p, count(*) AS n FROM e GROUP BY p)
-        SELECT a.s AS a, b.s AS b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s < b.s JOIN c ON c.p = a.p WHERE c.n <= 40 GROUP BY a.s, b.s HAVING count(*) >= 2"""),
-    Query("o142_entity_resolution", """
+    Query("x_common_neighbours", f"""
+        WITH {EDGES}
+        SELECT a.s AS a, b.s AS b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY a.s, b.s HAVING count(*) >= 2"""),
+    Query("x_entity_resolution", """
         WITH e AS (SELECT tok, conv_id FROM (SELECT DISTINCT conv_id, tok FROM conversations {explode({words(text)})}) x WHERE length(tok) >= 8)
         SELECT substr(tok, 1, 6) AS canonical, count(DISTINCT tok) AS aliases, count(*) AS mentions, min(tok) AS name FROM e GROUP BY substr(tok, 1, 6) HAVING count(DISTINCT tok) > 1"""),
-    Query("o144_co_occurrence", """
+    Query("x_co_occurrence", """
         WITH r AS (SELECT DISTINCT user_id, event_type FROM events)
         SELECT a.event_type AS a, b.event_type AS b, count(*) AS users_ FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY a.event_type, b.event_type"""),
 ]

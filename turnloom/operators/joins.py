@@ -17,7 +17,7 @@ QUERIES = [
     Query("o128_as_of_turns", """
         WITH ask AS (SELECT conv_id, turn AS ask_turn FROM conversations WHERE role = 'user')
         SELECT a.conv_id, a.ask_turn, count(*) AS visible, sum(length(t.text)) AS visible_chars, max(t.turn) AS last_turn FROM ask a JOIN conversations t ON t.conv_id = a.conv_id AND t.turn <= a.ask_turn GROUP BY a.conv_id, a.ask_turn"""),
-    Query("o127_as_of_event", """
+    Query("x_as_of_event", """
         SELECT event_id, user_id, prior_purchase FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_purchase FROM events) w WHERE event_type = 'error'"""),
     Query("o125_conflict_pairs", """
         WITH latest AS (SELECT o_custkey, o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey, o_orderstatus)

@@ -7,38 +7,38 @@ PAIRED = """
              FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 QUERIES = [
-    Query("o438_set_f1", f"""
+    Query("o278_set_f1", f"""
         WITH {PAIRED},
         n AS (SELECT conv_id, turn, {{common(gold;said)}} AS shared, {{size({{distinct(gold)}})}} AS g, {{size({{distinct(said)}})}} AS s FROM pair)
         SELECT conv_id, turn, CAST(shared AS bigint) AS shared, CASE WHEN g + s = 0 THEN 0 ELSE CAST(2 * shared AS double) / (g + s) END AS f1 FROM n"""),
-    Query("o439_bag_f1", f"""
+    Query("o280_bag_f1", f"""
         WITH {PAIRED},
         g AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(gold)}} GROUP BY conv_id, turn, tok),
         s AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(said)}} GROUP BY conv_id, turn, tok),
         shared AS (SELECT g.conv_id, g.turn, sum(least(g.n, s.n)) AS m FROM g JOIN s ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.tok = s.tok GROUP BY g.conv_id, g.turn)
         SELECT p.conv_id, p.turn, CAST(coalesce(m, 0) AS bigint) AS shared, CASE WHEN {{size(gold)}} + {{size(said)}} = 0 THEN 0 ELSE CAST(2 * coalesce(m, 0) AS double) / ({{size(gold)}} + {{size(said)}}) END AS f1
         FROM pair p LEFT JOIN shared x ON p.conv_id = x.conv_id AND p.turn = x.turn"""),
-    Query("o440_bleu1", f"""
+    Query("o283_bleu1", f"""
         WITH {PAIRED},
         g AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(gold)}} GROUP BY conv_id, turn, tok),
         s AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(said)}} GROUP BY conv_id, turn, tok),
         clipped AS (SELECT s.conv_id, s.turn, sum(least(g.n, s.n)) AS m FROM g JOIN s ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.tok = s.tok GROUP BY s.conv_id, s.turn)
         SELECT p.conv_id, p.turn, round(CASE WHEN {{size(said)}} = 0 THEN 0 ELSE CAST(coalesce(m, 0) AS double) / {{size(said)}} * CASE WHEN {{size(said)}} > {{size(gold)}} THEN 1 ELSE exp(1 - CAST({{size(gold)}} AS double) / {{size(said)}}) END END, 6) AS bleu1
         FROM pair p LEFT JOIN clipped x ON p.conv_id = x.conv_id AND p.turn = x.turn"""),
-    Query("o441_exact_match", f"""
+    Query("x_exact_match", f"""
         WITH {PAIRED}
         SELECT conv_id, turn, {{joined(gold; )}} = {{joined(said; )}} AS same, abs(length(gold_text) - length(said_text)) AS length_gap FROM pair"""),
     Query("o147_grouping_sets", """
         WITH m AS (SELECT lang, source, quality, n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
         SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, sum(quality) AS good, sum(n_chars) AS chars FROM m GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))"""),
-    Query("o452_recall_at_k", """
+    Query("x_recall_at_k", """
         WITH s AS (SELECT b.item_id, d.doc_id, count(*) AS shared FROM (SELECT DISTINCT item_id, tok FROM benchmark {explode({words(text)})}) b JOIN (SELECT DISTINCT doc_id, tok FROM documents {explode({words(text)})}) d ON b.tok = d.tok AND length(b.tok) >= 9 GROUP BY b.item_id, d.doc_id),
         r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rnk FROM s),
         j AS (SELECT r.item_id, r.rnk, coalesce(l.quality, 0) AS rel FROM r LEFT JOIN labels l ON r.doc_id = l.doc_id WHERE rnk <= 10)
         SELECT item_id, sum(CASE WHEN rnk <= 5 THEN rel ELSE 0 END) AS hits_at_5, sum(rel) AS hits_at_10, CAST(1 AS double) / min(CASE WHEN rel = 1 THEN rnk END) AS mrr FROM j GROUP BY item_id"""),
-    Query("o460_latency_percentiles", """
+    Query("x_latency_percentiles", """
         SELECT event_type, count(*) AS n, round({quantile(value;0.5)}, 4) AS p50, round({quantile(value;0.95)}, 4) AS p95, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type"""),
-    Query("o461_macro_micro", """
+    Query("x_macro_micro", """
         WITH g AS (SELECT lang, count(*) AS n, sum(quality) AS ok FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang)
         SELECT CAST(sum(ok) AS bigint) AS ok, CAST(sum(n) AS bigint) AS n, CAST(sum(ok) AS double) / sum(n) AS micro, round(avg(CAST(ok AS double) / n), 9) AS macro FROM g"""),
 ]

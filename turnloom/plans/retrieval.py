@@ -14,7 +14,7 @@ TERMS = f"""
     asked AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, tok FROM benchmark {{explode({{words(text)}})}}) y WHERE tok NOT IN {STOP})"""
 
 QUERIES = [
-    Query("o613_flagship_lexical_topk", f"""
+    Query("x_flagship_lexical_topk", f"""
         WITH {TERMS},
         size_of AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id),
         hit AS (SELECT a.item_id, t.conv_id, t.turn, t.role, count(*) AS shared FROM asked a JOIN terms t ON a.tok = t.tok GROUP BY a.item_id, t.conv_id, t.turn, t.role),
@@ -43,7 +43,7 @@ QUERIES = [
         fused AS (SELECT coalesce(l.item_id, o.item_id) AS item_id, coalesce(l.conv_id, o.conv_id) AS conv_id, 0.75 * coalesce(l.s, 0) + 0.25 * coalesce(o.s, 0) AS weighted, greatest(coalesce(l.s, 0), coalesce(o.s, 0)) AS highest
                   FROM lexical l FULL OUTER JOIN other o ON l.item_id = o.item_id AND l.conv_id = o.conv_id)
         SELECT item_id, conv_id, CAST(weighted AS double) AS weighted, CAST(highest AS double) AS highest, rnk FROM (SELECT fused.*, row_number() OVER (PARTITION BY item_id ORDER BY weighted DESC, conv_id) AS rnk FROM fused) r WHERE rnk <= 5"""),
-    Query("o223_reciprocal_rank_fusion", f"""
+    Query("x_reciprocal_rank_fusion", f"""
         WITH {TERMS},
         hit AS (SELECT a.item_id, t.conv_id, count(DISTINCT t.tok) AS shared, sum(t.tf) AS mass FROM asked a JOIN terms t ON a.tok = t.tok GROUP BY a.item_id, t.conv_id),
         ranked AS (SELECT item_id, conv_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, conv_id) AS r1, row_number() OVER (PARTITION BY item_id ORDER BY mass DESC, conv_id) AS r2 FROM hit),
@@ -56,7 +56,7 @@ QUERIES = [
     Query("o207_context_window", f"""
         WITH anchor AS (SELECT conv_id, turn, CASE WHEN {{matches(lower(text);thing|tion)}} AND role = 'user' THEN 1 ELSE 0 END AS hit FROM conversations)
         SELECT conv_id, turn, hit FROM (SELECT anchor.*, max(hit) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM anchor) w WHERE near = 1"""),
-    Query("o204_mmr_redundancy", """
+    Query("x_mmr_redundancy", """
         WITH s AS (SELECT conv_id, turn, {distinct({words(text)})} AS w FROM conversations),
         p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, {common(a.w;b.w)} AS both_, {size(a.w)} AS na, {size(b.w)} AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.turn - a.turn <= 8)
         SELECT conv_id, turn_a, turn_b, CAST(both_ AS bigint) AS shared, CAST(na + nb - both_ AS bigint) AS together FROM p WHERE both_ * 4 >= na + nb - both_ AND both_ > 0"""),

@@ -1,10 +1,10 @@
 """All queries of the library outside the llm subpackage."""
 
 from .functions import text, tokens
-from .operators import aggregates, filters, graph, joins, memory, quality, scores, sets, windows
-from .plans import evaluation, gates, retrieval, searches
+from .operators import aggregates, filters, graph, joins, lookups, memory, quality, scores, sets, windows
+from .plans import evaluation, gates, metrics, retrieval, searches
 from .streaming import events
 from .sql import collect
 
-FLAGSHIP = "o613_flagship_lexical_topk"
-QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, filters, scores, text, sets, tokens, gates, searches)
+FLAGSHIP = "x_flagship_lexical_topk"
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, filters, scores, text, sets, tokens, gates, searches, lookups, metrics)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Ranges of Chinese, Japanese and Korean characters.
+CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
 #: construct: (Spark, DuckDB), $1 and $2 standing for its arguments.
 DIALECTS = {
     "words": ("regexp_extract_all(lower($1), '[a-z0-9]+', 0)", "regexp_extract_all(lower($1), '[a-z0-9]+')"),
@@ -39,6 +41,12 @@ DIALECTS = {
     "sha1": ("sha1($1)", "sha1($1)"),
     "matches": ("($1 RLIKE '$2')", "regexp_matches($1, '$2')"),
     "replace": ("regexp_replace($1, '$2', '')", "regexp_replace($1, '$2', '', 'g')"),
+    "split_ws": ("filter(split($1, '[ \t\n\r]+'), t -> t <> '')", "list_filter(string_split_regex($1, '[ \t\n\r]+'), lambda t: t <> '')"),
+    "no_punctuation": ("regexp_replace(lower(coalesce($1, '')), '[\\\\pP$+<=>^`|~]', ' ')", "regexp_replace(lower(coalesce($1, '')), '[\\pP$+<=>^`|~]', ' ', 'g')"),
+    "no_ascii_punctuation": ("regexp_replace($1, '[\\\\x21-\\\\x2f\\\\x3a-\\\\x40\\\\x5b-\\\\x60\\\\x7b-\\\\x7e]', '')", "regexp_replace($1, '[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]', '', 'g')"),
+    "by_character": (f"flatten(transform($1, c -> CASE WHEN c RLIKE '[{CJK}]' THEN regexp_extract_all(c, '[a-z0-9]+|[{CJK}]', 0) ELSE array(c) END))", f"flatten(list_transform($1, lambda c: CASE WHEN regexp_matches(c, '[{CJK}]') THEN regexp_extract_all(c, '[a-z0-9]+|[{CJK}]') ELSE [c] END))"),
+    "apostrophe_words": ("regexp_extract_all(lower(coalesce($1, '')), \"[a-z0-9']+\", 0)", "regexp_extract_all(lower(coalesce($1, '')), '[a-z0-9\'\']+')"),
+    "at_second": ("timestamp_seconds($1)", "to_timestamp($1)::timestamp"),
     "quantile": ("percentile($1, $2)", "quantile_cont($1, $2)"),
     "dot": ("aggregate(zip_with($1, $2, (x, y) -> CAST(x AS double) * CAST(y AS double)), CAST(0 AS double), (s, z) -> s + z)", "list_dot_product(CAST($1 AS double[]), CAST($2 AS double[]))"),
 }

@@ -44,5 +44,5 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUILT = {
     "o372_anchored_windows": (anchored_windows, None),
-    "o370_tumbling_counts": (hourly_counts, "SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS start_s, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1, 2"),
+    "x_tumbling_counts": (hourly_counts, "SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS start_s, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1, 2"),
 }
