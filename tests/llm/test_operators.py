@@ -230,7 +230,7 @@ def test_byte_bpe_of_long_words(spark):
         ids = encoding.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     with pytest.raises(ValueError):
-        bpe.Fold({"a": 0, "b": 1, "abc": 2}, spark)
+        bpe.Fold({"a": 0, "b": 1, "abc": 2})
 
 
 def test_nearest_recall_and_bad_vectors(spark):

@@ -27,6 +27,7 @@ other rank files are refused.
 import base64
 import json
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +48,12 @@ def read_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, lines)}
 
 
-def bucketed(entries: dict, buckets: int, kind: str, spark, hashes=None):
-    """A literal array of maps; an entry lies in the map numbered by its key's hash."""
-    keys = list(entries)
-    if hashes is None:
-        frame = spark.createDataFrame([(k,) for k in keys], "k string").select("k", F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"))
-        hashes = {r["k"]: r["b"] for r in frame.collect()}
+def bucketed(entries: dict, buckets: int, kind: str):
+    """A literal array of maps; an entry lies in the map numbered by its key's hash, as ``looked_up`` computes it."""
     maps = [{} for _ in range(buckets)]
-    for k in keys:
-        maps[hashes[k]][k] = entries[k]
+    for k, v in entries.items():
+        number = xxhash.xxh64_intdigest(k.encode(), seed=42)
+        maps[(number - (number >> 63 << 64)) % buckets][k] = v
     return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), f"array<map<string,{kind}>>")
 
 
@@ -96,7 +94,7 @@ class Fold:
     by two. Marks stand before the first and after the last piece.
     """
 
-    def __init__(self, ranks, spark):
+    def __init__(self, ranks):
         odd = unreachable(ranks)
         if odd:
             raise ValueError(f"{len(odd)} pieces are not what their bytes merge into, such as {odd[0]!r}")
@@ -108,7 +106,7 @@ class Fold:
                 if left is not None and right is not None:
                     pair = character(left) + character(right)
                     pairs[pair] = character(rank)
-        self.pairs = bucketed(pairs, RANK_BUCKETS, "string", spark)
+        self.pairs = bucketed(pairs, RANK_BUCKETS, "string")
         sizes = [0] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             sizes[rank] = len(piece)
@@ -179,7 +177,7 @@ class Fold:
 
 
 def frequent_words(texts: DataFrame, limit: int = WORDS) -> DataFrame:
-    """(word, b): the most frequent words, as many whole classes of counts as fit the limit."""
+    """(word): the most frequent words, as many whole classes of counts as fit the limit."""
     counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     classed = stash(counts.withColumn("step", F.floor(F.log2("n") * 8)))
     least, held = None, 0
@@ -189,20 +187,19 @@ def frequent_words(texts: DataFrame, limit: int = WORDS) -> DataFrame:
             break
         least = row["step"]
     chosen = classed.where(F.col("step") >= F.lit(least)) if least is not None else classed.limit(0)
-    return chosen.select("word", F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("b"))
+    return chosen.select("word")
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids array<int>, decoded binary."""
-    spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
-    fold = Fold(ranks, spark)
+    fold = Fold(ranks)
     cut = "(?U)" + pattern
     texts = picked(docs, id_col, text_col).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(cut), F.lit(0)).alias("words"))
     chosen = frequent_words(texts)
-    table = chosen.select("word", "b", fold(F.col("word")).alias("ids")).toArrow()
-    words = table.column("word").to_pylist()
-    known = bucketed(dict(zip(words, table.column("ids").to_pylist(), strict=True)), WORD_BUCKETS, "array<int>", spark, dict(zip(words, table.column("b").to_pylist(), strict=True)))
+    table = chosen.select("word", fold(F.col("word")).alias("ids")).toArrow()
+    known = bucketed(dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True)), WORD_BUCKETS, "array<int>")
+    del table
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
