@@ -13,16 +13,14 @@ QUERIES = [
         SELECT conv_id, turn FROM conversations c WHERE EXISTS (SELECT 1 FROM (SELECT conv_id AS i, turn AS t2, tok FROM conversations {explode({words(text)})}) x JOIN b ON x.tok = b.tok WHERE x.i = c.conv_id AND x.t2 = c.turn)"""),
     Query("o106_resume_anti_join", "SELECT d.doc_id, d.source FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id"),
     Query("o129_time_band", """
-        SELECT a.event_id, b.event_id AS other_id, a.user_id, {epoch(b.ts)} - {epoch(a.ts)} AS seconds_apart FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND {epoch(b.ts)} - {epoch(a.ts)} BETWEEN 0 AND 3600 WHERE a.event_type = 'error'"""),
-    Query("o128_as_of_turns", """
-        WITH ask AS (SELECT conv_id, turn AS ask_turn FROM conversations WHERE role = 'user')
-        SELECT a.conv_id, a.ask_turn, count(*) AS visible, sum(length(t.text)) AS visible_chars, max(t.turn) AS last_turn FROM ask a JOIN conversations t ON t.conv_id = a.conv_id AND t.turn <= a.ask_turn GROUP BY a.conv_id, a.ask_turn"""),
+        WITH e AS (SELECT event_id, user_id, event_type, {epoch(ts)} AS s, CAST(floor({epoch(ts)} / 3600.0) AS bigint) AS hour_ FROM events),
+        a AS (SELECT event_id, user_id, s, hour_ FROM e WHERE event_type = 'error' UNION ALL SELECT event_id, user_id, s, hour_ + 1 AS hour_ FROM e WHERE event_type = 'error')
+        SELECT a.event_id, b.event_id AS other_id, a.user_id, b.s - a.s AS seconds_apart FROM a JOIN e b ON a.user_id = b.user_id AND a.hour_ = b.hour_ WHERE b.event_id > a.event_id AND b.s - a.s BETWEEN 0 AND 3600"""),
     Query("x_as_of_event", """
         SELECT event_id, user_id, prior_purchase FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_purchase FROM events) w WHERE event_type = 'error'"""),
     Query("o125_conflict_pairs", """
         WITH latest AS (SELECT o_custkey, o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey, o_orderstatus)
         SELECT a.o_custkey, a.o_orderstatus AS status_a, b.o_orderstatus AS status_b, a.first_key AS key_a, b.first_key AS key_b FROM latest a JOIN latest b ON a.o_custkey = b.o_custkey AND a.o_orderstatus < b.o_orderstatus"""),
-    Query("o123_last_eight", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) w WHERE back <= 8"),
     Query("o168_completeness_grid", """
         WITH l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT source FROM documents), have AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source)
         SELECT l.lang, s.source, coalesce(h.n, 0) AS n FROM l CROSS JOIN s LEFT JOIN have h ON h.lang = l.lang AND h.source = s.source"""),

@@ -1,5 +1,6 @@
 """Scoped searches and what is built from their hits: filters before ranking, fused scores, distinct labels, edges, support."""
 
+from turnloom.operators.turns import numbered
 from turnloom.sql import Query
 
 NORM = """
@@ -19,7 +20,7 @@ QUERIES = [
     Query("o120_fact_support", """
         WITH cited AS (SELECT DISTINCT conv_id, turn, tok FROM conversations {explode({words(text)})} WHERE length(tok) >= 6), fact AS (SELECT DISTINCT tok FROM benchmark {explode({words(text)})})
         SELECT c.conv_id, c.turn, count(*) AS cited, count(f.tok) AS supported FROM cited c LEFT JOIN fact f ON f.tok = c.tok GROUP BY c.conv_id, c.turn"""),
-    Query("o121_row_index", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents"),
+    Query("o121_row_index", f"WITH {numbered('documents', 'source', 'doc_id', 'doc_id, source')} SELECT source, doc_id, num AS line FROM numbered"),
     Query("o124_edge_type", """
         WITH e AS (SELECT user_id, event_id, event_type, {epoch(ts)} AS s, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type, lead({epoch(ts)}) OVER w AS next_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT event_id, next_id, CASE WHEN event_type = 'error' OR next_type = 'error' THEN 'conflict_with' WHEN next_s - s <= 600 THEN 'temporal_near' WHEN event_type = next_type THEN 'same_entity' ELSE 'same_session' END AS edge_type FROM e WHERE next_id IS NOT NULL"""),

@@ -23,6 +23,14 @@ DIALECTS = {
     "names": ("regexp_extract_all($1, '[A-Z][a-z]+( [A-Z][a-z]+)?', 0)", "regexp_extract_all($1, '[A-Z][a-z]+( [A-Z][a-z]+)?')"),
     "sentences": ("regexp_extract_all($1, '[^.!?]+[.!?]*', 0)", "regexp_extract_all($1, '[^.!?]+[.!?]*')"),
     "without": ("filter($1, x -> x NOT IN ($2))", "list_filter($1, lambda x: x NOT IN ($2))"),
+    "among": ("filter($1, x -> x IN ($2))", "list_filter($1, lambda x: x IN ($2))"),
+    "ending": ("filter($1, x -> x LIKE '%$2' OR x LIKE '%$3')", "list_filter($1, lambda x: x LIKE '%$2' OR x LIKE '%$3')"),
+    "longer": ("filter($1, x -> length(x) > $2)", "list_filter($1, lambda x: length(x) > $2)"),
+    "sorted": ("array_sort($1)", "list_sort($1)"),
+    "hosts": ("regexp_extract_all($1, 'https?://[a-z0-9.]+', 0)", "regexp_extract_all($1, 'https?://[a-z0-9.]+')"),
+    "nth": ("try_element_at($1, $2)", "list_extract($1, $2)"),
+    "lines": ("split($1, chr(10))", "string_split($1, chr(10))"),
+    "places": ("LATERAL VIEW explode(sequence(1, $1)) t AS place", ", unnest(range(1, $1 + 1)) AS t(place)"),
     "explode": ("LATERAL VIEW explode($1) t AS tok", ", unnest($1) AS t(tok)"),
     "size": ("size($1)", "len($1)"),
     "distinct": ("array_distinct($1)", "list_distinct($1)"),
@@ -54,7 +62,7 @@ DIALECTS = {
 
 def render(text: str, dialect: int) -> str:
     def fill(m):
-        parts = [p.strip() for p in m[2].split(";")]
+        parts = [p.strip() or p for p in m[2].split(";")]
         out = DIALECTS[m[1]][dialect]
         for i, p in enumerate(parts, 1):
             out = out.replace(f"${i}", p)
