@@ -34,7 +34,7 @@ QUERIES = [
         WITH l AS (SELECT doc_id, pos, tok AS line, CASE WHEN position(':' IN tok) > 0 THEN position(':' IN tok) ELSE position('：' IN tok) END AS at_ FROM documents {posexplode({lines(text)})})
         SELECT doc_id, pos, CASE WHEN at_ > 1 THEN trim(substr(line, 1, at_ - 1)) ELSE 'speaker' END AS speaker, CASE WHEN at_ > 0 THEN trim(substr(line, at_ + 1)) ELSE trim(line) END AS said FROM l"""),
     Query("o325_guard_tokens", "SELECT doc_id, CAST(greatest(1, floor((coalesce(length(text), 0) + 2) / 3.0)) AS bigint) AS tokens_ FROM documents"),
-    Query("o327_host_ids", "SELECT page_id, {joined({sorted({distinct({hosts(html)})});,)} AS hosts FROM pages"),
+    Query("o327_host_ids", "SELECT page_id, {joined({sorted({distinct({hosts(html)})})};,)} AS hosts FROM pages"),
     Query("o329_sensitive_paths", f"SELECT page_id, {{matches(lower(url);{SECRET_PATHS})}} AS sensitive FROM pages"),
     Query("o284_supported", """
         WITH p AS (SELECT u.conv_id, u.turn, {distinct({tokens(u.text)})} AS g, {distinct({tokens(a.text)})} AS s, u.text = a.text AS same_, contains(lower(a.text), 'not mentioned') AS refused FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user')
