@@ -54,3 +54,21 @@ def unused(docs, stem):
     while stem.lower() in names:
         stem += "_"
     return stem
+
+
+#: A key that more than one row in so many has is joined by broadcast; so that many keys at most.
+HOT = 256
+
+
+def join_unique(rows, table, keys, weight):
+    """Inner join of rows with a table that has one row per key, none of them null.
+
+    ``weight`` is the table's column with the number of rows of the key. Keys with more
+    than one row in HOT would crowd one task: their rows of the table, HOT at most, are
+    broadcast. All others meet in an ordinary shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = table.where(F.col(weight) * HOT > total)
+    light = table.where(F.col(weight) * HOT <= total)
+    met = rows.join(F.broadcast(heavy), keys)
+    return met.unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
