@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.plans.evidence import FAMILY
 from turnloom.sql import Query
 
 # Secrets and what replaces them, in order, and paths that name secrets.
@@ -18,8 +17,6 @@ SECRETS = [
     (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/])", "[REDACTED_BASE64]"),
 ]
 SECRET_PATHS = "([.]env|credentials|secret|secrets|password|token|[.]pem|[.]key|[.]p12|[.]pfx|id_rsa|id_dsa|[.]npmrc|[.]aws|[.]gcp|[.]azure)"
-# Retrieval budgets by question family.
-BUDGETS = """(VALUES ('temporal', 'high', 12, 10, 2), ('open-domain', 'high', 14, 12, 3), ('multi-hop', 'medium', 16, 6, 3), ('adversarial', 'high', 8, 0, 2), ('longdialogue', 'medium', 10, 4, 2), ('single-hop', 'low', 8, 0, 1))"""
 
 SLOT = """slot AS (SELECT conv_id, turn, text, CASE WHEN {matches(lower(text);^when)} OR contains(lower(text), ' what date') OR contains(lower(text), 'which date') THEN 'date/time' WHEN contains(lower(text), 'how long') THEN 'duration'
         WHEN contains(lower(text), 'how many') OR contains(lower(text), 'number of') THEN 'count' WHEN {matches(lower(text);^who)} THEN 'person/entity' WHEN {matches(lower(text);^where)} THEN 'location'
@@ -29,11 +26,10 @@ KID = "used to|as a kid|childhood"
 QUERIES = [
     Query("o304_answer_slot", f"WITH {SLOT} SELECT conv_id, turn, slot FROM slot"),
     Query("o312_habit_asked", f"SELECT q.conv_id, q.turn, CASE WHEN {{matches(lower(q.text);({KID}|when he was a kid|when she was a kid|when they were kids))}} AND {{matches(lower(a.text);({KID}|when i was a kid|those were the days|back then))}} THEN 1 ELSE 0 END AS habit FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1"),
-    Query("o315_route", f"WITH {FAMILY} SELECT f.item_id, f.family, b.risk, b.components, b.edges, b.episodes FROM family f JOIN {BUDGETS} AS b(family, risk, components, edges, episodes) ON b.family = f.family"),
     Query("o317_speaker_line", """
         WITH l AS (SELECT doc_id, pos, tok AS line, CASE WHEN position(':' IN tok) > 0 THEN position(':' IN tok) ELSE position('：' IN tok) END AS at_ FROM documents {posexplode({lines(text)})})
         SELECT doc_id, pos, CASE WHEN at_ > 1 THEN trim(substr(line, 1, at_ - 1)) ELSE 'speaker' END AS speaker, CASE WHEN at_ > 0 THEN trim(substr(line, at_ + 1)) ELSE trim(line) END AS said FROM l"""),
-    Query("o325_guard_tokens", "SELECT doc_id, CAST(greatest(1, floor((coalesce(length(text), 0) + 2) / 3.0)) AS bigint) AS tokens_ FROM documents"),
+    Query("o325_guard_tokens", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE CAST(greatest(1, floor((length(text) + 2) / 3.0)) AS bigint) END AS tokens_ FROM documents"),
     Query("o327_host_ids", "SELECT page_id, {joined({sorted({distinct({hosts(html)})})};,)} AS hosts FROM pages"),
     Query("o329_sensitive_paths", f"SELECT page_id, {{matches(lower(url);{SECRET_PATHS})}} AS sensitive FROM pages"),
     Query("o284_supported", """

@@ -1,13 +1,14 @@
 """An evidence store over conversations: sentences as components, typed edges between near ones, lexical search over both.
 
-A conversation is an episode. Components are numbered within their episode; two get an
-edge in each direction if, once the turn of the later one has been read, both are among
-the last eight. Question terms meet texts on equal words and, for the substring bonus, on
-the first five letters of a term among the five-letter pieces of a word, so no product of
-questions and texts is built.
+``STORE`` are the steps that make the store of ``turn_`` (scope, episode, turn, speaker,
+text, said_on): a scope is one long memory, an episode a session in it. Components are
+numbered within their episode; two get an edge in each direction if, once some turn has
+been read, both are among the last eight. Question terms meet texts on equal words and,
+for the substring bonus, on the first five letters of a term among the five-letter pieces
+of a word, so no product of questions and texts is built.
 """
 
-from turnloom.sql import Query
+from turnloom.sql import Plan, Query, Step
 
 # Words without content, and the words that mark a relation.
 STOP = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'had', 'has', 'have', 'he', 'her', 'him', 'his', 'i', 'in', 'is', 'it', 'its', 'me', 'my', 'of', 'on', 'or', 'our', 'she', 'so', 'that', 'the', 'their', 'them', 'they', 'this', 'to', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'who', 'why', 'with', 'you', 'your'"
@@ -15,38 +16,79 @@ TEMPORAL = "'after', 'before', 'earlier', 'later', 'then', 'today', 'tomorrow',
 CAUSAL = "'because', 'since', 'so', 'therefore', 'caused', 'reason', 'why'"
 PREFERENCE = "'like', 'love', 'hate', 'prefer', 'favorite', 'want', 'need', 'wish'"
 SOCIAL = "'friend', 'mother', 'father', 'brother', 'sister', 'boss', 'wife', 'husband', 'date'"
-TIMES = "(yesterday|tomorrow|tonight|today|last week|next week|last month|next month|last night|this morning|this afternoon|this evening|monday|tuesday|wednesday|thursday|friday|saturday|sunday|[0-9]:[0-9][0-9])"
+# Expressions of time in the order in which they are looked for, and the days by which they move a date.
+TIMES = ("yesterday", "tomorrow", "tonight", "today", "last week", "next week", "last month", "next month", "last night", "this morning", "this afternoon", "this evening")
+DAYS = {"yesterday": -1, "last night": -1, "tomorrow": 1, "today": 0, "tonight": 0, "last week": -7, "next week": 7, "last month": -30, "next month": 30}
 
 CONTENT = f"length(tok) > 2 AND tok NOT IN ({STOP})"
-MARKED = "{size({among(toks;%s)})} > 0"
-COMPONENT = f"""
-    sentence AS (SELECT conv_id, turn, role, pos, trim(tok) AS text FROM (SELECT conv_id, turn, role, {{squeeze(text)}} AS line FROM conversations) l {{posexplode({{sentences(line)}})}} WHERE trim(tok) <> ''),
-    parsed AS (SELECT conv_id, turn, role, pos, text, {{without({{tokens(text)}};{STOP})}} AS toks, {{ending({{tokens(text)}};ed;ing)}} AS verbs, {{names(text)}} AS names_ FROM sentence),
-    component AS (
-        SELECT conv_id, turn, pos, text, coalesce({{nth(names_;1)}}, role) AS subject, coalesce({{nth(verbs;1)}}, {{nth(toks;1)}}, '') AS predicate, coalesce({{nth(names_;2)}}, '') AS object_,
-            CASE WHEN {{matches(lower(text);{TIMES})}} THEN 1 ELSE 0 END AS timed,
-            CASE WHEN {MARKED % TEMPORAL} THEN 'temporal' WHEN {MARKED % CAUSAL} THEN 'causal' WHEN {MARKED % PREFERENCE} THEN 'preference/attribute' WHEN {MARKED % SOCIAL} THEN 'social'
-                 WHEN {{size({{distinct(names_)}})}} >= 2 THEN 'entity' ELSE 'event-update' END AS relation,
-            row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS nth_,
-            count(*) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-        FROM parsed)"""
-#: Pairs at most seven apart share a block of eight or lie in neighbouring ones, so a long episode is never joined with itself whole.
-EDGE = f"""{COMPONENT},
-    blocked AS (SELECT component.*, CAST(floor(nth_ / 8.0) AS bigint) AS blk FROM component),
-    facing AS (SELECT blocked.*, blk AS at_ FROM blocked UNION ALL SELECT blocked.*, blk + 1 AS at_ FROM blocked),
-    pair AS (SELECT a.conv_id, a.nth_ AS x, b.nth_ AS y FROM facing a JOIN blocked b ON a.conv_id = b.conv_id AND a.at_ = b.blk WHERE a.nth_ < b.nth_ AND b.upto - a.nth_ <= 7),
-    both_ways AS (SELECT conv_id, x AS l, y AS r FROM pair UNION ALL SELECT conv_id, y AS l, x AS r FROM pair),
-    edge AS (
-        SELECT e.conv_id, e.l, e.r, a.text AS left_text, b.text AS right_text, a.subject || ' -> ' || b.subject AS relation_text, greatest(a.timed, b.timed) AS timed,
-            CASE WHEN lower(a.subject) = lower(b.subject) AND a.object_ <> '' AND b.object_ <> '' AND lower(a.object_) <> lower(b.object_) AND a.predicate <> '' AND a.predicate = b.predicate THEN 'conflict_with'
-                 WHEN a.timed + b.timed > 0 THEN 'temporal_near'
-                 WHEN lower(a.subject) IN (lower(b.subject), lower(b.object_)) OR (a.object_ <> '' AND lower(a.object_) IN (lower(b.subject), lower(b.object_))) THEN 'same_entity'
+SPACE = "chr(32)"
+
+
+def content(text: str) -> str:
+    """The content words of a text, repeats included."""
+    return f"{{content({{tokens({text})}};{STOP})}}"
+
+
+def marked(words: str) -> str:
+    return f"{{size({{among(toks;{words})}})}} > 0"
+
+
+SENTENCES = f"replace(replace(replace(replace(trim({{squeeze(coalesce(text, ''))}}), '.' || {SPACE}, '.' || chr(30)), '!' || {SPACE}, '!' || chr(30)), '?' || {SPACE}, '?' || chr(30)), chr(59) || {SPACE}, chr(30))"
+TIME_EXPR = "CASE " + " ".join(f"WHEN {{inside(low;'{t}')}} THEN '{t}'" for t in TIMES) + " ELSE coalesce(nullif({got_weekday(low)}, ''), {got_clock(low)}) END"
+EVENT_TIME = "coalesce(CASE time_expr " + " ".join(f"WHEN '{t}' THEN {{iso({{date_plus(said_on;{d})}})}}" for t, d in DAYS.items()) + " END, '')"
+SEARCHED = "concat_ws(' ', subject, predicate, object_, time_expr, event_time)"
+
+#: A scope holds twenty conversations; a conversation's date stands for the date that its session would bear.
+TURN = Step("turn_", "SELECT CAST(floor(conv_id / 20.0) AS bigint) AS scope, conv_id AS episode, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS text, {date_plus(DATE '2023-01-01';conv_id % 3650)} AS said_on FROM conversations")
+
+STORE = (
+    Step("sentence", f"SELECT scope, episode, turn, speaker, said_on, pos, trim(tok) AS text FROM (SELECT scope, episode, turn, speaker, said_on, {{cut({SENTENCES})}} AS parts FROM turn_) l {{posexplode(parts)}} WHERE trim(tok) <> ''"),
+    Step("parsed", f"SELECT sentence.*, lower({{blank_letter_beyond_ascii(text)}}) AS low, {{tokens(text)}} AS words, {{without({{tokens(text)}};{STOP})}} AS toks, {{ending({{tokens(text)}};ed;ing)}} AS verbs, {{named({{all_entity({{blank_letter_beyond_ascii(text)}})}};{STOP})}} AS names_ FROM sentence"),
+    Step(
+        "timed",
+        f"""SELECT scope, episode, turn, pos, speaker, said_on, text, coalesce({{nth(names_;1)}}, speaker) AS subject, coalesce({{nth(verbs;1)}}, {{nth(toks;1)}}, '') AS predicate,
+            coalesce({{nth({{differing(names_;{{nth(names_;1)}})}};1)}}, '') AS object_, {TIME_EXPR} AS time_expr,
+            CASE WHEN {marked(TEMPORAL)} THEN 'temporal' WHEN {marked(CAUSAL)} THEN 'causal' WHEN {marked(PREFERENCE)} THEN 'preference/attribute' WHEN {marked(SOCIAL)} THEN 'social'
+                 WHEN {{size({{distinct(names_)}})}} >= 2 THEN 'entity' ELSE 'event-update' END AS relation
+        FROM parsed""",
+    ),
+    Step(
+        "component",
+        f"""SELECT scope, episode, turn, pos, speaker, said_on, text, subject, predicate, object_, time_expr, relation, {EVENT_TIME} AS event_time,
+            'component_' || substr({{sha1('D' || episode || ':' || turn || '||' || pos || '||' || text)}}, 1, 12) AS component_id,
+            row_number() OVER (PARTITION BY scope, episode ORDER BY turn, pos) AS nth_,
+            count(*) OVER (PARTITION BY scope, episode ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM timed""",
+        keep=True,
+    ),
+    # Pairs at most seven apart share a block of eight or lie in neighbouring ones, so a long episode is never joined with itself whole.
+    Step("blocked", "SELECT scope, episode, nth_, upto, CAST(floor(nth_ / 8.0) AS bigint) AS blk FROM component"),
+    Step("facing", "SELECT scope, episode, nth_, blk AS at_ FROM blocked UNION ALL SELECT scope, episode, nth_, blk + 1 AS at_ FROM blocked"),
+    Step("pair", "SELECT a.scope, a.episode, a.nth_ AS x, b.nth_ AS y, b.upto AS made FROM facing a JOIN blocked b ON a.scope = b.scope AND a.episode = b.episode AND a.at_ = b.blk WHERE a.nth_ < b.nth_ AND b.upto - a.nth_ <= 7"),
+    # The state after each turn: of a component's own turn, the first two others among the last eight become its sources.
+    Step("state", "SELECT DISTINCT scope, episode, upto FROM component WHERE upto >= 2"),
+    Step("turn_span", "SELECT scope, episode, turn, min(nth_) AS head, max(nth_) AS tail FROM component GROUP BY scope, episode, turn"),
+    Step("later", "SELECT scope, episode, turn, nth_, place FROM component {upto(upto;nth_ + 7)}"),
+    Step("seen", "SELECT l.scope, l.episode, l.nth_, greatest(t.head, l.place - 7) AS head, t.tail, min(l.place) AS made FROM later l JOIN state s ON s.scope = l.scope AND s.episode = l.episode AND s.upto = l.place JOIN turn_span t ON t.scope = l.scope AND t.episode = l.episode AND t.turn = l.turn GROUP BY l.scope, l.episode, l.nth_, greatest(t.head, l.place - 7), t.tail"),
+    Step("source_pair", "SELECT scope, episode, nth_ AS l, place AS r, min(made) AS made FROM (SELECT scope, episode, nth_, tail, made, place, CASE WHEN nth_ <= head + 1 THEN head + 2 ELSE head + 1 END AS final FROM seen {upto(head;head + 2)}) x WHERE place <> nth_ AND place <= tail AND place <= final GROUP BY scope, episode, nth_, place"),
+    Step("both_ways", "SELECT scope, episode, x AS l, y AS r, made, 0 AS source FROM pair UNION ALL SELECT scope, episode, y AS l, x AS r, made, 0 AS source FROM pair UNION ALL SELECT scope, episode, l, r, made, 1 AS source FROM source_pair"),
+    Step(
+        "edge",
+        """SELECT e.scope, e.episode, e.l, e.r, e.made, e.source,
+            CASE WHEN e.source = 1 THEN 'same raw turn source' ELSE coalesce(nullif(a.subject, ''), a.predicate) || ' -> ' || coalesce(nullif(b.subject, ''), b.predicate) END AS relation_text,
+            CASE WHEN e.source = 1 THEN 'source_of'
+                 WHEN a.subject <> '' AND lower(a.subject) = lower(b.subject) AND a.object_ <> '' AND b.object_ <> '' AND lower(a.object_) <> lower(b.object_) AND a.predicate <> '' AND a.predicate = b.predicate THEN 'conflict_with'
+                 WHEN a.time_expr <> '' OR b.time_expr <> '' THEN 'temporal_near'
+                 WHEN (a.subject <> '' AND lower(a.subject) IN (lower(b.subject), lower(b.object_))) OR (a.object_ <> '' AND lower(a.object_) IN (lower(b.subject), lower(b.object_))) THEN 'same_entity'
                  WHEN a.relation IN ('causal', 'preference/attribute', 'social', 'event-update') THEN a.relation ELSE 'same_session' END AS edge_type
-        FROM both_ways e JOIN component a ON a.conv_id = e.conv_id AND a.nth_ = e.l JOIN component b ON b.conv_id = e.conv_id AND b.nth_ = e.r)"""
+        FROM both_ways e JOIN component a ON a.scope = e.scope AND a.episode = e.episode AND a.nth_ = e.l JOIN component b ON b.scope = e.scope AND b.episode = e.episode AND b.nth_ = e.r""",
+        keep=True,
+    ),
+)
 EPISODE = """
     line AS (SELECT conv_id, turn, role, concat(role, ': ', coalesce(text, '')) AS shown, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up_, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down_, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
     kept AS (SELECT conv_id, up_ AS at_, shown FROM line WHERE up_ <= 3 UNION ALL SELECT conv_id, up_ + 10 AS at_, shown FROM line WHERE n > 3 AND down_ <= 3 UNION ALL SELECT conv_id, 5 AS at_, '...' AS shown FROM line WHERE n > 6 AND up_ = 1),
-    episode AS (SELECT conv_id, {joined({collect(shown;at_)}; )} AS summary FROM kept GROUP BY conv_id)"""
+    episode AS (SELECT conv_id, {joined({collect(shown;at_)}; )} || ' ' || {joined({collect(role;at_)}; )} AS summary FROM (SELECT k.conv_id, k.shown, k.at_, CASE WHEN k.at_ = 1 THEN p.roles ELSE '' END AS role FROM kept k JOIN (SELECT conv_id, {joined({sorted({distinct({collect(role;turn)})})}; )} AS roles FROM conversations GROUP BY conv_id) p ON p.conv_id = k.conv_id) e GROUP BY conv_id)"""
 
 
 def scored(rows: str, key: str) -> str:
@@ -72,24 +114,13 @@ def top(select: str, key: str, k: int) -> str:
     return f"SELECT {select}, score, rnk FROM (SELECT score.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {key}) AS rnk FROM score) w WHERE rnk <= {k}"
 
 
-FAMILY = """family AS (SELECT item_id, CASE WHEN {matches(lower(text);(when|date|time|before|after))} THEN 'temporal' WHEN {matches(lower(text);(why|because|would))} THEN 'open-domain' ELSE 'multi-hop' END AS family FROM benchmark)"""
-ALLOWED = """allowed AS (SELECT * FROM (VALUES ('temporal', 'temporal_near'), ('temporal', 'same_entity'), ('temporal', 'source_of'), ('temporal', 'same_session'), ('multi-hop', 'same_entity'), ('multi-hop', 'source_of'),
-        ('multi-hop', 'same_session'), ('multi-hop', 'event-update'), ('multi-hop', 'causal'), ('multi-hop', 'preference/attribute'), ('multi-hop', 'social')) AS v(family, edge_type))"""
-EDGE_ROWS = "SELECT conv_id, l, r, edge_type || ' ' || relation_text || ' ' || left_text || ' ' || right_text AS text FROM edge"
-
+BUILT_STORE = (TURN, *STORE)
 QUERIES = [
     Query("o270_predicate", f"SELECT conv_id, turn, coalesce({{nth({{ending({{tokens(text)}};ed;ing)}};1)}}, {{nth({{without({{tokens(text)}};{STOP})}};1)}}, '') AS predicate FROM conversations"),
-    Query("o440_components", f"WITH {COMPONENT} SELECT conv_id, turn, pos, text, subject, predicate, object_, timed, relation, nth_ FROM component"),
-    Query("o123_window_edges", f"WITH {EDGE} SELECT conv_id, l, r, edge_type FROM edge"),
-    Query("o441_manifest", f"WITH {EDGE} SELECT 'turns' AS part_, count(*) AS n FROM conversations UNION ALL SELECT 'episodes' AS part_, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'components' AS part_, count(*) AS n FROM component UNION ALL SELECT 'edges' AS part_, count(*) AS n FROM edge"),
+    Plan("o440_components", BUILT_STORE, "SELECT scope, episode, turn, pos, text, subject, predicate, object_, time_expr, event_time, relation, component_id, nth_ FROM component"),
+    Plan("o123_window_edges", BUILT_STORE, "SELECT scope, episode, l, r, edge_type, relation_text, made FROM edge"),
+    Plan("o441_manifest", BUILT_STORE, "SELECT 'turns' AS part_, count(*) AS n FROM turn_ UNION ALL SELECT 'episodes' AS part_, count(DISTINCT episode) AS n FROM turn_ UNION ALL SELECT 'components' AS part_, count(*) AS n FROM component UNION ALL SELECT 'edges' AS part_, count(*) AS n FROM edge"),
     Query("o200_rank_by_lexical", f"WITH {scored('SELECT conv_id, turn, text FROM conversations', 'conv_id, turn')} {top('item_id, conv_id, turn', 'conv_id, turn', 10)}"),
-    Query("o201_search_components", f"WITH {COMPONENT}, {scored("SELECT conv_id, nth_, concat_ws(' ', text, subject, predicate, object_) AS text FROM component", 'conv_id, nth_')} {top('item_id, conv_id, nth_', 'conv_id, nth_', 10)}"),
-    Query("o202_search_edges", f"WITH {EDGE}, {scored(EDGE_ROWS, 'conv_id, l, r')} {top('item_id, conv_id, l, r', 'conv_id, l, r', 10)}"),
     Query("o203_search_episodes", f"WITH {EPISODE}, {scored('SELECT conv_id, summary AS text FROM episode', 'conv_id')} {top('item_id, conv_id', 'conv_id', 4)}"),
     Query("o204_episode_summaries", f"WITH {EPISODE} SELECT conv_id, summary FROM episode"),
-    Query("o436_edges_of_family", f"WITH {EDGE}, {FAMILY}, {ALLOWED}, n AS (SELECT edge_type, count(*) AS n FROM edge GROUP BY edge_type) SELECT f.item_id, f.family, CAST(sum(CASE WHEN f.family = 'open-domain' OR a.edge_type IS NOT NULL THEN n.n ELSE 0 END) AS bigint) AS edges FROM family f CROSS JOIN n LEFT JOIN allowed a ON a.family = f.family AND a.edge_type = n.edge_type GROUP BY f.item_id, f.family"),
-    Query("o439_components_from_walk", f"""
-        WITH {EDGE}, {scored(EDGE_ROWS, 'conv_id, l, r')}, walk AS ({top('item_id, conv_id, l, r', 'conv_id, l, r', 10)}),
-        met AS (SELECT item_id, conv_id, l AS nth_, 2 * rnk AS at_ FROM walk UNION ALL SELECT item_id, conv_id, r AS nth_, 2 * rnk + 1 AS at_ FROM walk)
-        SELECT item_id, conv_id, nth_, row_number() OVER (PARTITION BY item_id ORDER BY min(at_)) AS place FROM met GROUP BY item_id, conv_id, nth_"""),
 ]

@@ -2,9 +2,9 @@
 
 from .functions import routes, text, tokens
 from .operators import aggregates, filters, graph, joins, lookups, memory, quality, scores, sets, turns, windows
-from .plans import evaluation, evidence, gates, metrics, retrieval, searches
+from .plans import evaluation, evidence, gates, metrics, retrieval, routing, searches
 from .streaming import events
 from .sql import collect
 
 FLAGSHIP = "x_flagship_lexical_topk"
-QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, turns, routes)
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, routing, turns, routes)

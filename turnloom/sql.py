@@ -8,6 +8,7 @@ A few constructs differ between the two; ``render`` fills them in:
 """
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,9 +57,58 @@ DIALECTS = {
     "apostrophe_words": ("regexp_extract_all(lower(coalesce($1, '')), \"[a-z0-9']+\", 0)", "regexp_extract_all(lower(coalesce($1, '')), '[a-z0-9\'\']+')"),
     "at_second": ("timestamp_seconds($1)", "to_timestamp($1)::timestamp"),
     "quantile": ("percentile($1, $2)", "quantile_cont($1, $2)"),
+    "named": ("filter($1, x -> lower(x) NOT IN ($2))", "list_filter($1, lambda x: lower(x) NOT IN ($2))"),
+    "differing": ("filter($1, x -> x <> $2)", "list_filter($1, lambda x: x <> $2)"),
+    "content": ("filter($1, x -> length(x) > 2 AND x NOT IN ($2))", "list_filter($1, lambda x: length(x) > 2 AND x NOT IN ($2))"),
+    "at_least_4": ("array_distinct(filter($1, x -> length(x) >= 4))", "list_distinct(list_filter($1, lambda x: length(x) >= 4))"),
+    "joined_lines": ("array_join($1, chr(10))", "array_to_string($1, chr(10))"),
+    "times_beyond": ("filter($1, x -> NOT array_contains($2, x))", "list_filter($1, lambda x: NOT list_contains($2, x))"),
+    "cut": ("split($1, chr(30))", "string_split($1, chr(30))"),
+    "date_plus": ("date_add($1, CAST($2 AS int))", "CAST($1 + CAST($2 AS int) AS date)"),
+    "iso": ("date_format($1, 'yyyy-MM-dd')", "strftime($1, '%Y-%m-%d')"),
+    "long_date": ("date_format($1, 'MMMM d, yyyy')", "strftime($1, '%B %-d, %Y')"),
+    "upto": ("LATERAL VIEW explode(CASE WHEN $1 <= $2 THEN sequence($1, $2) END) t AS place", ", LATERAL (SELECT unnest(range($1, $2 + 1)) AS place) t"),
+    "inside": ("contains($1, $2)", "contains($1, $2)"),
+    "begins": ("startswith($1, $2)", "starts_with($1, $2)"),
+    "ends": ("endswith($1, $2)", "ends_with($1, $2)"),
+    "short": ("(CASE WHEN length($1) <= $2 THEN $1 ELSE rtrim(substr($1, 1, $2 - 3)) || '...' END)", "(CASE WHEN length($1) <= $2 THEN $1 ELSE rtrim(substr($1, 1, $2 - 3)) || '...' END)"),
     "dot": ("aggregate(zip_with($1, $2, (x, y) -> CAST(x AS double) * CAST(y AS double)), CAST(0 AS double), (s, z) -> s + z)", "list_dot_product(CAST($1 AS double[]), CAST($2 AS double[]))"),
 }
 
+#: Regular expressions without braces, by name; ``{all_x(t)}`` gives all matches, ``{has_x(t)}`` whether there is one, ``{got_x(t)}`` the first group or ''.
+PATTERNS = {
+    "letter_beyond_ascii": "[\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufaff]",
+    "entity": r"\b[A-Z][A-Za-z']+(?: +[A-Z][A-Za-z']+)?\b",
+    "weekday": r"\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
+    "clock": r"\b([0-9][0-9]?:[0-9][0-9] *(?:a\.?m\.?|p\.?m\.?)?)\b",
+    "number": r"\b[0-9]+\b",
+    "at_place": r"\b(?:at|in|near|from|to) +[A-Z][A-Za-z']+",
+    "liked": r"\b(?:love|loves|loved|like|likes|liked|enjoy|enjoys|enjoyed) +([a-z][a-z '-][a-z '-]+)",
+    "stoked": r"\bstoked +for +([a-z][a-z '-][a-z '-]+)",
+    "fan": r"\bfan +of +([a-z][a-z '-][a-z '-]+)",
+    "favorite": r"\bfavorite +(?:is|are|was|were)? *([a-z][a-z '-][a-z '-]+)",
+    "first_word": r"([a-z][a-z']*)",
+    "habit_label": r"(?:^|[^\p{L}\p{N}_])(?:used to|would) +(?:rock|listen to|play|watch|read|visit|go to)? *(.+?)(?:[.!?]|$)",
+    "liked_label": r"(?:^|[^\p{L}\p{N}_])(?:love|loves|loved|like|likes|liked|enjoy|enjoys|enjoyed) +(.+?)(?:[.!?]|$)",
+    "stoked_label": r"(?:^|[^\p{L}\p{N}_])stoked +for +(.+?)(?:[.!?]|$)",
+    "favorite_label": r"(?:^|[^\p{L}\p{N}_])favorite +(?:is|are|was|were)? *(.+?)(?:[.!?]|$)",
+}
+
+
+def _with_patterns():
+    for name, pattern in PATTERNS.items():
+        # Braces would end a construct's argument: they travel as <( and )> until the text is complete.
+        safe = pattern.replace("{", "<(").replace("}", ")>")
+        spark = "'" + safe.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        duck = "'" + safe.replace("'", "''") + "'"
+        DIALECTS[f"all_{name}"] = (f"regexp_extract_all($1, {spark}, 0)", f"regexp_extract_all($1, {duck})")
+        DIALECTS[f"has_{name}"] = (f"($1 RLIKE {spark})", f"regexp_matches($1, {duck})")
+        DIALECTS[f"got_{name}"] = (f"regexp_extract($1, {spark}, 1)", f"regexp_extract($1, {duck}, 1)")
+        DIALECTS[f"blank_{name}"] = (f"regexp_replace($1, {spark}, '_')", f"regexp_replace($1, {duck}, '_', 'g')")
+
+
+_with_patterns()
+
 
 def render(text: str, dialect: int) -> str:
     def fill(m):
@@ -71,7 +121,7 @@ def render(text: str, dialect: int) -> str:
     pattern = re.compile(r"\{(\w+)\(((?:[^{}])*)\)\}")
     while pattern.search(text):
         text = pattern.sub(fill, text)
-    return text
+    return text.replace("<(", "{").replace(")>", "}")
 
 
 def tables_in(text: str) -> list[str]:
@@ -92,6 +142,76 @@ class Query:
         return spark.sql(render(self.text, 0))
 
 
+@dataclass(frozen=True)
+class Step:
+    """A named table of a plan, made from the tables before it. ``keep``: used more than once, so worth keeping."""
+
+    name: str
+    text: str
+    keep: bool = False
+
+
+def needed(steps, text: str) -> list[Step]:
+    """The steps that a text rests on, directly or through others, in order."""
+    wanted, out = set(re.findall(r"\w+", text)), []
+    for step in reversed(steps):
+        if step.name in wanted:
+            out.append(step)
+            wanted |= set(re.findall(r"\w+", step.text))
+    return out[::-1]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows for several readers: a checkpoint where the cluster names a folder for them, else Spark's cache."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=False)
+
+
+def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], text: str) -> DataFrame:
+    """The text's rows over the steps, each step a DataFrame of its own; ``sources`` are tables that no step makes."""
+    tables = dict(sources)
+
+    def rows(sql):
+        used = {name: f"{name}_{uuid.uuid4().hex}" for name in tables if re.search(rf"\b{name}\b", sql)}
+        for name, view in used.items():
+            tables[name].createOrReplaceTempView(view)
+            # A table without an alias keeps its own name as one.
+            sql = re.sub(rf"\b(FROM|JOIN) {name}\b(?=\s*(?:$|\)|WHERE|JOIN|LEFT|ON|GROUP|UNION|ORDER|CROSS|LATERAL))", rf"\1 {view} {name}", sql)
+            sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {view}", sql)
+        df = spark.sql(sql)
+        for view in used.values():
+            spark.catalog.dropTempView(view)
+        return df
+
+    for step in needed(steps, text):
+        if step.name not in tables:
+            df = rows(render(step.text, 0))
+            tables[step.name] = kept(df) if step.keep else df
+    return rows(render(text, 0))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A query over steps: in Spark one DataFrame a step, for DuckDB one chain of named queries."""
+
+    name: str
+    steps: tuple
+    text: str
+    oracle: bool = True
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = tables_in(" ".join([self.text, *[s.text for s in needed(self.steps, self.text)]]))
+        return run_steps(spark, self.steps, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}, self.text)
+
+    def chained(self) -> str:
+        return "WITH " + ",\n".join(f"{s.name} AS ({render(s.text, 1)})" for s in needed(self.steps, self.text)) + "\n" + render(self.text, 1)
+
+
 def collect(*modules) -> tuple[dict[str, Callable], dict[str, str]]:
     """All queries of the modules by name, and the DuckDB text of those it can check."""
     queries, oracles = {}, {}
@@ -99,7 +219,7 @@ def collect(*modules) -> tuple[dict[str, Callable], dict[str, str]]:
         for q in module.QUERIES:
             queries[q.name] = q
             if q.oracle:
-                oracles[q.name] = render(q.text, 1)
+                oracles[q.name] = q.chained() if isinstance(q, Plan) else render(q.text, 1)
         for name, (build, oracle) in getattr(module, "BUILT", {}).items():
             queries[name] = build
             if oracle:
