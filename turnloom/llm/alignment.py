@@ -21,6 +21,7 @@ row. An empty table gives an empty result. Other columns are ignored.
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,23 @@ from pyspark.sql import functions as F
 from ._tables import join_unique, picked, stash
 from .packing import byte_ranks
 
-#: Pairs that are broadcast at most; units remembered in a task; characters of a unit that is remembered.
-PAIRS, CACHE, UNIT = 500_000, 300_000, 64
+#: Pairs that are broadcast at most; units remembered in a task; characters of a unit that is remembered; units tokenised at once.
+PAIRS, CACHE, UNIT, AT_ONCE = 500_000, 150_000, 64, 20_000
 #: Bytes of text handled at once inside a task.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 ALIGNED = "text_sha256 string, copies long, n_a long, n_b long, groups string, links array<struct<a:int, b:int, n:int>>"
 
 
 class Tokens:
-    """Ids of a text by both tokenizers, and the bytes of each id. Make one per task."""
+    """Ids of texts by both tokenizers, and the bytes of each id. Make one per task."""
 
     def __init__(self, a_path, pattern, b_path):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks, _ = byte_ranks(a_path)
+        self.a_path, self.whole = a_path, None
         self.short = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.long = Tokenizer.from_file(a_path)
-        self.long.encode_special_tokens = True
         self.a_bytes = {i: piece for piece, i in ranks.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -56,73 +55,107 @@ class Tokens:
             raise ValueError("pieces that hold a space after another character are not supported")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def __call__(self, text):
-        a = self.short.encode_ordinary(" " + text) if len(text) <= UNIT else self.long.encode(" " + text, add_special_tokens=False).ids
-        return a, self.b.encode(text)
-
-
-def grouped(a_ids, b_ids, a_sizes, b_sizes):
-    """Groups as text, and the linked pairs in order, of two token lists over the same bytes."""
-    groups, pairs, i, j, a_end, b_end, a_from, b_from = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(a_ids):
-        a_end += a_sizes[i]
-        i += 1
-        while b_end < a_end:
-            b_end += b_sizes[j]
-            j += 1
-        if a_end == b_end:
-            groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
-            pairs.append((a_ids[i - 1] << 32) | b_ids[j - 1])
-            a_from, b_from = i, j
-    return ";".join(groups), pairs
-
-
-class Units(dict):
-    """(tokens of A, tokens of B, groups, pairs as bytes) of a unit of text, or None where bytes differ."""
-
-    def __init__(self, tokens):
-        self.tokens = tokens
-
-    def __missing__(self, unit):
-        a, b = self.tokens(unit)
-        a_parts, b_parts = [self.tokens.a_bytes[x] for x in a], [self.tokens.b_bytes[x] for x in b]
-        whole = b" " + unit.encode()
-        entry = None
-        if b"".join(a_parts) == whole and b"".join(b_parts) == whole:
-            groups, pairs = grouped(a, b, list(map(len, a_parts)), list(map(len, b_parts)))
-            entry = len(a), len(b), groups, np.array(pairs, "<i8").tobytes()
+    def a(self, unit):
+        """Short units by ranks; long ones by a tokenizer whose time does not grow with the square of a word."""
         if len(unit) <= UNIT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[unit] = entry
-        return entry
+            return self.short.encode_ordinary(" " + unit)
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.a_path)
+            self.whole.encode_special_tokens = True
+        return self.whole.encode(" " + unit, add_special_tokens=False).ids
+
+    def __call__(self, units):
+        """Ids by A and by B of each unit, as two lists of lists."""
+        return list(map(self.a, units)), self.b.encode(units, num_threads=1)
+
+
+class Flat:
+    """The token lists of one tokenizer laid end to end: ids, sizes in bytes, and the tokens that each unit begins with."""
+
+    def __init__(self, lists, sizes):
+        self.ids = np.fromiter(chain.from_iterable(lists), np.int64)
+        self.sizes = sizes[self.ids]
+        self.first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+
+    def unit_sizes(self):
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        return ends[self.first[1:]] - ends[self.first[:-1]]
+
+
+def aligned_units(a, b):
+    """(groups as text, linked pairs as bytes) per unit, of two Flat lists of tokens over the same bytes."""
+    a_ends, b_ends = np.cumsum(a.sizes), np.cumsum(b.sizes)
+    both, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+    pairs = (a.ids[a_at] << 32) | b.ids[b_at]
+    # Tokens in the order of the text that names them: by group, those of A first.
+    a_last, b_last = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
+    a_last[a_at] = b_last[b_at] = True
+    names = [f"{i}{'|' if last else ','}" for i, last in zip(a.ids.tolist(), a_last.tolist())]
+    names += [f"{i}{';' if last else ','}" for i, last in zip(b.ids.tolist(), b_last.tolist())]
+    group = np.concatenate([2 * np.searchsorted(both, a_ends), 2 * np.searchsorted(both, b_ends) + 1])
+    names = [names[k] for k in np.argsort(group, kind="stable").tolist()]
+    token_cuts, pair_cuts = (a.first + b.first).tolist(), np.searchsorted(a_at, a.first)
+    raw, pair_cuts = pairs.astype("<i8").tobytes(), (8 * pair_cuts).tolist()
+    for k in range(len(a.first) - 1):
+        yield "".join(names[token_cuts[k] : token_cuts[k + 1]])[:-1], raw[pair_cuts[k] : pair_cuts[k + 1]]
 
 
 class Aligner:
-    """A text's tokens of A and B, groups, and the counts of its linked pairs."""
+    """A text's tokens of A and B, groups, and the counts of its linked pairs; units are remembered from chunk to chunk."""
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
     NONE = 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __init__(self, a_path, pattern, b_path):
-        self.units = Units(Tokens(a_path, pattern, b_path))
-
-    def __call__(self, text):
-        if not text:
-            return self.NONE
-        parts = list(map(self.units.__getitem__, self.CUT.split(text)))
-        if None in parts:
+        self.tokens, self.known = Tokens(a_path, pattern, b_path), {}
+        self.a_sizes = np.array([len(self.tokens.a_bytes.get(i, b"")) for i in range(max(self.tokens.a_bytes) + 1)])
+        self.b_sizes = np.array(list(map(len, self.tokens.b_bytes)))
+
+    def learn(self, units):
+        """(tokens of A, tokens of B, groups, pairs as bytes) of each unit, or None where bytes differ."""
+        a, b = self.tokens(units)
+        wholes = [b" " + u.encode() for u in units]
+        sizes = np.fromiter(map(len, wholes), np.int64, len(wholes))
+        fits = (Flat(a, self.a_sizes).unit_sizes() == sizes) & (Flat(b, self.b_sizes).unit_sizes() == sizes)
+        for k in np.flatnonzero(fits).tolist():
+            fits[k] = b"".join([self.tokens.a_bytes[x] for x in a[k]]) == wholes[k] and b"".join([self.tokens.b_bytes[x] for x in b[k]]) == wholes[k]
+        for k in np.flatnonzero(~fits).tolist():
+            self.known[units[k]] = None
+        kept = np.flatnonzero(fits).tolist()
+        a, b = [a[k] for k in kept], [b[k] for k in kept]
+        for k, x, y, (groups, pairs) in zip(kept, a, b, aligned_units(Flat(a, self.a_sizes), Flat(b, self.b_sizes))):
+            self.known[units[k]] = len(x), len(y), groups, pairs
+
+    def measure(self, parts):
+        found = list(map(self.known.__getitem__, parts))
+        if None in found:
             return self.NONE
-        a, b, groups, pairs = zip(*parts)
+        a, b, groups, pairs = zip(*found)
         keys, counts = np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_counts=True)
         return sum(a), sum(b), ";".join(groups), keys, counts
 
+    def __call__(self, texts):
+        cut = [self.CUT.split(t) if t else None for t in texts]
+        units = set()
+        for parts in cut:
+            units.update(parts or ())
+        new = list(units - self.known.keys())
+        for k in range(0, len(new), AT_ONCE):
+            self.learn(new[k : k + AT_ONCE])
+        out = [self.measure(parts) if parts else self.NONE for parts in cut]
+        # Where memory is full, only short units of this chunk stay: those in use.
+        keep = len(self.known) <= CACHE
+        self.known = {u: e for u, e in self.known.items() if len(u) <= UNIT and (keep or u in units)}
+        return out
+
 
 def align_texts(texts: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
     """Rows (text, copies) to ALIGNED: both tokenizers' counts, the groups, and how often each pair is linked."""
 
     def rows(aligner, shas, copies, texts):
-        a, b, groups, keys, counts = zip(*map(aligner, texts))
+        a, b, groups, keys, counts = zip(*aligner(texts))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         fields = [pa.array(x.astype(np.int32)) for x in (keys >> 32, keys & 0xFFFFFFFF, counts)]
