@@ -2,8 +2,10 @@
 
 Texts are read straight out of Arrow buffers as byte arrays. Words are runs of
 bytes outside ``\\x20`` and ``\\x09``-``\\x0D``; each gets a 64-bit fingerprint
-(a polynomial over its bytes, then a finalising mix), computed for a whole chunk
-at once. Two different words share a fingerprint with probability 2**-64.
+computed for a whole chunk at once: two polynomials over its bytes, modulo two primes
+below 2**31 and at fixed bases drawn at random, then a finalising mix. Words of n bytes
+that were not made with the bases in mind share both with probability about
+(n / 2**31)**2.
 """
 
 import numpy as np
@@ -11,8 +13,9 @@ import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; a longer text is one chunk of its own.
 CHUNK_BYTES = 2_000_000
-#: Base of the polynomial fingerprint (odd, so it has an inverse modulo 2**64).
-BASE = 0x9E3779B97F4A7C15
+#: Primes and bases of the two polynomials; places whose terms are summed before the next remainder is taken.
+LANES = ((2147483647, 1103515249), (2147483629, 1566083941))
+SUMMED = 1 << 22
 
 
 def text_chunks(column, limit=CHUNK_BYTES):
@@ -59,15 +62,31 @@ class WordHasher:
         space = np.zeros(256, dtype=bool)
         space[[32, *range(9, 14)]] = True
         self.word = ~space
-        self.pow = self.inv = np.ones(1, dtype=np.uint64)
+        self.tables = [(np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))] * 2
 
-    def powers(self, n):
-        if len(self.pow) < n:
+    def powers(self, lane, n):
+        """Powers of the lane's base and of its inverse, at least n of each."""
+        prime, base = LANES[lane]
+        if len(self.tables[lane][0]) < n:
             n = max(n, 1 << 16)
-            one = np.ones(1, dtype=np.uint64)
-            self.pow = np.concatenate([one, np.cumprod(np.full(n, BASE, dtype=np.uint64))])
-            self.inv = np.concatenate([one, np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))])
-        return self.pow, self.inv
+            grown = []
+            for b in (base, pow(base, -1, prime)):
+                out = np.ones(1, dtype=np.uint64)
+                while len(out) < n:
+                    out = np.concatenate([out, out * np.uint64(pow(b, len(out), prime)) % np.uint64(prime)])
+                grown.append(out)
+            self.tables[lane] = tuple(grown)
+        return self.tables[lane]
+
+    def polynomial(self, lane, data, starts, ends):
+        """The lane's polynomial over the bytes of each word, counted from its own start."""
+        prime = np.uint64(LANES[lane][0])
+        power, inverse = self.powers(lane, len(data) + 1)
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        for k in range(0, len(data), SUMMED):
+            part = (data[k : k + SUMMED].astype(np.uint64) + np.uint64(1)) * power[k : k + SUMMED][: len(data) - k]
+            total[k + 1 : k + SUMMED + 1] = (np.cumsum(part) + total[k]) % prime
+        return (total[ends] + prime - total[starts]) % prime * inverse[starts] % prime
 
     def __call__(self, data, offsets):
         """``(hashes, starts, ends, words per document)`` of the words, in order."""
@@ -82,10 +101,7 @@ class WordHasher:
         after[offsets] = False
         starts = np.flatnonzero(word & ~before[:n])
         ends = np.flatnonzero(word & ~after[1:]) + 1
-        power, inverse = self.powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * inverse[starts])
+        hashes = mix64((self.polynomial(0, data, starts, ends) << np.uint64(32)) | self.polynomial(1, data, starts, ends))
         counts = np.diff(np.searchsorted(starts, offsets))
         return hashes, starts, ends, counts
 

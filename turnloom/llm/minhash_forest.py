@@ -14,6 +14,14 @@
 4. After that the forest is walked again over the components found: rows next to each
    other that belong to different components are new candidates, until a walk adds
    no link.
+5. A walk compares a row with few others of its region, so a region of more than
+   COVERED rows that still holds several components is compared whole: its rows are
+   dealt into blocks, every two blocks meet in a task of their own, and the sizes of all
+   intersections come from products of their incidence matrices. A pair is looked at in
+   the first tree only that puts it into one region. What a task returns are links that
+   join components, fewer than it has rows, never all pairs. With that, every pair that
+   shares the first DEPTH hashes of any tree is either compared or connected: a link at
+   exactly 0.8 is missed by all trees with probability below 0.0001, in dense regions too.
 
 Defined cases: text that is null, empty or without words has no shingles, links with
 nothing and is kept. A text with fewer words than a shingle is one shingle. Rows
@@ -31,8 +39,10 @@ from ._tables import picked, stash, unused
 HASHES, TREES, DEPTH = 80, 20, 4
 #: Nearest earlier rows of a tree that a row is compared with.
 NEIGHBOURS = 2
-#: Bytes kept of each shingle's fingerprint when sets travel: a false match has probability 2**-40.
-SET_BYTES = 5
+#: Bytes of a shingle's fingerprint.
+SET_BYTES = 8
+#: Rows of a region that the walk compares completely; rows and shingles of a block of a crowded region; shingles multiplied at once.
+COVERED, BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = NEIGHBOURS + 1, 512, 400_000, 4096
 
 
 def shingle_sets(hasher, data, offsets, words):
@@ -194,7 +204,7 @@ def _sets(words):
             out = []
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 for own in shingle_sets(hasher, data, offsets, words):
-                    out.append(np.unique(own >> np.uint64(64 - 8 * SET_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes())
+                    out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "members"])
 
     return run
@@ -205,11 +215,6 @@ def _confirm(percent):
         import numpy as np
         import pyarrow as pa
 
-        def members(raw):
-            wide = np.zeros((len(raw) // SET_BYTES, 8), dtype=np.uint8)
-            wide[:, :SET_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SET_BYTES)
-            return wide.view(np.uint64).ravel()
-
         for batch in batches:
             left, right, good = batch.column(2), batch.column(3), np.zeros(len(batch), dtype=bool)
             for i in range(len(batch)):
@@ -217,7 +222,7 @@ def _confirm(percent):
                 n, m = len(x) // SET_BYTES, len(y) // SET_BYTES
                 if 100 * min(n, m) < percent * max(n, m):
                     continue
-                both = np.concatenate([members(x), members(y)])
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 good[i] = 100 * shared >= percent * (n + m - shared)
@@ -234,6 +239,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stash(both.mapInArrow(_confirm(percent), "a long, b long"))
 
 
+def shared_counts(sets):
+    """Sizes of the intersections of all pairs of sets (sorted distinct numbers), as a matrix."""
+    import numpy as np
+
+    sizes = np.array(list(map(len, sets)))
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    rows, column = rows[common], np.unique(column[common], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[rows[low:high], column[low:high] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _compare(percent):
+    """Links among the rows of two blocks of a region: (i, j, tree, block, doc_id, comp, nears, members) to (a, b)."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        tree, i, j = (table.column(c)[0].as_py() for c in ("tree", "i", "j"))
+        ids, comp, block = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "comp", "block"))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if (comp == comp[0]).all():
+            return none
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        nears = np.frombuffer(b"".join(table.column("nears").to_pylist()), np.int64).reshape(len(ids), TREES)
+        sizes = np.array(list(map(len, sets)), dtype=np.int64)
+        shared = shared_counts(sets).astype(np.int64)
+        good = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        good &= comp[:, None] != comp[None, :]
+        if i != j:
+            good &= block[:, None] != block[None, :]
+        for earlier in range(tree):
+            good &= nears[:, None, earlier] != nears[None, :, earlier]
+        root, out = {}, []
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(*np.nonzero(np.triu(good, 1))):
+            u, v = find(int(comp[x])), find(int(comp[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())}) if out else none
+
+    return run
+
+
+def _nears(batches):
+    """(doc_id, nears): a row's region in every tree."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        n = len(batch)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(n, HASHES).astype(np.uint64)
+        shift, nears = np.array([48, 32, 16, 0], dtype=np.uint64), np.zeros((n, TREES), np.int64)
+        for tree in range(TREES):
+            nears[:, tree] = (sig[:, (np.arange(DEPTH) + tree * DEPTH) % HASHES] << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in nears], pa.binary())], ["doc_id", "nears"])
+
+
+def crowded_links(forest: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components inside regions that a walk can't compare completely.
+
+    ``forest``: tree, near, doc_id, comp; ``classes``: doc_id, n_shingles, signature; ``rows``: doc_id, text.
+    """
+    spread = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    regions = forest.join(classes.select("doc_id", "n_shingles"), "doc_id").groupBy("tree", "near").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    crowded = stash(regions.where((F.col("rows") > COVERED) & (F.col("low") != F.col("high"))).select("tree", "near", spread.alias("blocks")))
+    if crowded.isEmpty():
+        return forest.sparkSession.createDataFrame([], "a long, b long")
+    placed = stash(forest.join(crowded, ["tree", "near"]).select("tree", "near", "doc_id", "comp", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")))
+    wanted = classes.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = rows.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stash(texts.mapInArrow(_sets(words), "doc_id long, members binary").join(wanted.select("doc_id", "signature").mapInArrow(_nears, "doc_id long, nears binary"), "doc_id"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    meeting = placed.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return meeting.join(sets, "doc_id").groupBy("tree", "near", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a < b), root its smallest reachable node.
 
@@ -304,6 +401,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links, tried = links.unionByName(linked), tried.unionByName(more)
         roots = stash(components(links))
+    placed = classes.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    inside = stash(crowded_links(forest.select("tree", "near", "doc_id").join(placed, "doc_id"), classes, rows, words, percent))
+    if not inside.isEmpty():
+        roots = stash(components(links.unionByName(inside)))
     owner = signed.join(classes.where("size > 1").select("set_key", F.col("doc_id").alias("rep")), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     done = owner.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left")
     result = done.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
