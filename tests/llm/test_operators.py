@@ -452,3 +452,25 @@ def test_pipeline_stages_match_brute_force(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
         at[r.doc_id] += r.length
     assert at == {d: len(i) for d, i in ids.items()}
+
+
+def test_vectors_of_extreme_length(spark):
+    """Cosine does not depend on length: rows scaled far beyond what squares in double precision hold are found and find; ties go to smaller ids."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(150, (base[0] * 1e-200).tolist()), (201, (base[0] * 1e200).tolist()), (202, (base[1] * 1e-310).tolist()), (203, base[0].tolist()), (204, [0.0] * 16), (205, [float("nan")] * 16), (206, None)]
+    got = collections.defaultdict(list)
+    for r in ann_bits.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    ids, whole = [], []
+    for i, v in rows:
+        if v is not None and np.isfinite(v).all() and np.any(v):
+            v = np.array(v) / np.abs(v).max()
+            ids.append(i)
+            whole.append(v / np.linalg.norm(v))
+    whole = np.array(whole)
+    for q in (0, 50, 150):
+        cosine = np.round(whole @ whole[ids.index(q)], 12)
+        near = {i: c for i, c in zip(ids, cosine) if i != q}
+        assert [near[i] for i in got[q]] == sorted(near.values(), reverse=True)[:5]
+    assert set(got[0][:3]) == {150, 201, 203}

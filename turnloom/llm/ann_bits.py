@@ -40,18 +40,25 @@ def rotation(d):
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors):
+    """Each row times the power of two that brings its largest component near one: no angle changes, no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _codes(d):
     def run(batches):
         import pyarrow as pa
 
         turn = rotation(d)
         for batch in batches:
-            vectors = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(batch), d)
+            if not len(batch):
+                continue
+            vectors = scaled(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(batch), d))
             norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
             turned = (vectors / norms[:, None]) @ turn.T
             bits = np.packbits(turned >= 0, axis=1)
             own = np.abs(turned).sum(axis=1) / np.sqrt(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(own), pa.array(norms)], ["vec_id", "vector", "code", "own", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * d, pa.int32()), pa.array(vectors.ravel())), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(own), pa.array(norms)], ["vec_id", "vector", "code", "own", "norm"])
 
     return run
 
