@@ -130,9 +130,9 @@ SEARCH = (
 
 #: The queries' upstream retriever: the turns of the two best components.
 BASE = Step("base_", "SELECT DISTINCT h.q, h.episode, c.turn FROM best_hit h JOIN framed f ON f.q = h.q JOIN component c ON c.scope = f.scope AND c.episode = h.episode AND c.nth_ = h.nth_ WHERE h.variant = 'plain' AND h.rnk <= 2")
-SHOWN = "'[' || coalesce('Date: ' || {long_date(t.said_on)} || '; ', '') || 'Scene: ' || t.episode || '; Turn: D' || t.episode || ':' || t.turn || '] Speaker ' || coalesce(nullif(t.speaker, ''), 'unknown') || ' says: ' || t.text"
+SHOWN = "'[' || coalesce('Date: ' || {long_date(t.said_on)} || '; ', '') || 'Scene: ' || t.episode || '; Turn: D' || t.episode || ':' || t.turn || '] Speaker ' || coalesce(nullif(t.speaker, ''), 'unknown') || ' says: ' || coalesce(t.text, '')"
 TURNS = (
-    Step("turn_line", f"SELECT t.scope, t.episode, t.turn, t.speaker, row_number() OVER (PARTITION BY t.scope, t.episode ORDER BY t.turn) AS idx, {{at_least_4({content('t.text')})}} AS long_terms, {SHOWN} AS shown FROM turn_ t", keep=True),
+    Step("turn_line", f"SELECT t.scope, t.episode, t.turn, t.speaker, row_number() OVER (PARTITION BY t.scope, t.episode ORDER BY t.turn) AS idx, {{at_least_4({content("coalesce(t.text, '')")})}} AS long_terms, {SHOWN} AS shown FROM turn_ t", keep=True),
     Step("base_line", "SELECT b.q, t.episode, t.turn, t.shown, row_number() OVER (PARTITION BY b.q ORDER BY t.episode, t.turn) AS at_ FROM base_ b JOIN framed f ON f.q = b.q JOIN turn_line t ON t.scope = f.scope AND t.episode = b.episode AND t.turn = b.turn"),
     Step("base_context", "SELECT q, {joined_lines({collect(shown;at_)})} AS context FROM base_line GROUP BY q"),
 )
@@ -165,15 +165,15 @@ SCORED = (
         FROM candidate d JOIN asked a ON a.q = d.q JOIN component c ON c.scope = a.scope AND c.episode = d.episode AND c.nth_ = d.nth_""",
     ),
     Step("liked_", "SELECT worded.*, substr(coalesce(nullif({got_liked(lower(plain))}, ''), nullif({got_stoked(lower(plain))}, ''), nullif({got_fan(lower(plain))}, ''), nullif({got_favorite(lower(plain))}, '')), 1, 61) AS liked, trim({got_habit_label(low)}) AS habit_value, trim(" + VALUE + ") AS value FROM worded"),
-    Step("preferring", f"SELECT liked_.*, CAST({PREFERRED} AS double) AS preferred, CASE WHEN {any_in('low', HABITS)} THEN 0.65 ELSE 0.0 END AS habit FROM liked_"),
+    Step("preferring", f"SELECT liked_.*, CAST({PREFERRED} AS double) AS preferred, CAST(CASE WHEN {any_in('low', HABITS)} THEN 0.65 ELSE 0.0 END AS double) AS habit FROM liked_"),
     Step(
         "bonused",
-        f"""SELECT preferring.*, CAST({SLOT_BONUS} AS double) AS slot_bonus, CASE WHEN {SEVERAL} THEN 0.22 ELSE 0.0 END + CASE WHEN {{size({{all_entity(plain)}})}} >= 2 THEN 0.18 ELSE 0.0 END AS set_bonus,
-            CASE WHEN {{begins(low;'[image:')}} AND {{size({content('text')})}} < 8 THEN 0.15 ELSE 0.0 END + CASE WHEN (liking OR past) AND {any_in('low', ('looks like', 'sounds like', "that's awesome", 'that sounds'))} THEN 0.2 ELSE 0.0 END + CASE WHEN sets AND {SUGGESTED} THEN 0.35 ELSE 0.0 END AS penalty,
+        f"""SELECT preferring.*, CAST({SLOT_BONUS} AS double) AS slot_bonus, CAST(CASE WHEN {SEVERAL} THEN 0.22 ELSE 0.0 END + CASE WHEN {{size({{all_entity(plain)}})}} >= 2 THEN 0.18 ELSE 0.0 END AS double) AS set_bonus,
+            CAST(CASE WHEN {{begins(low;'[image:')}} AND {{size({content('text')})}} < 8 THEN 0.15 ELSE 0.0 END + CASE WHEN (liking OR past) AND {any_in('low', ('looks like', 'sounds like', "that's awesome", 'that sounds'))} THEN 0.2 ELSE 0.0 END + CASE WHEN sets AND {SUGGESTED} THEN 0.35 ELSE 0.0 END AS double) AS penalty,
             {LABEL} AS label
         FROM preferring""",
     ),
-    Step("answering", "SELECT bonused.*, slot_bonus + CASE WHEN past THEN habit ELSE 0.0 END + CASE WHEN sets THEN set_bonus ELSE 0.0 END - CASE WHEN liking AND preferred < 0 THEN 0.35 ELSE 0.0 END AS answer FROM bonused"),
+    Step("answering", "SELECT bonused.*, CAST(slot_bonus + CASE WHEN past THEN habit ELSE 0.0 END + CASE WHEN sets THEN set_bonus ELSE 0.0 END - CASE WHEN liking AND preferred < 0 THEN 0.35 ELSE 0.0 END AS double) AS answer FROM bonused"),
     Step(
         "scored_component",
         """SELECT z.*, row_number() OVER (PARTITION BY q, plan ORDER BY total DESC, rnk, episode, nth_) AS place FROM (SELECT y.*, round(CAST(score + CAST(met AS double) / greatest(1, n_terms) + CASE WHEN relation IN ('entity', 'social', 'preference/attribute', 'causal') THEN 0.08 ELSE 0.0 END
@@ -357,7 +357,7 @@ def retrieve(turns: DataFrame, questions: DataFrame, base: DataFrame, method: st
         raise ValueError(f"unknown method: {method}")
     spark = turns.sparkSession
     sources = {"turn_": turns, "question_": questions, "base_": base}
-    out = {name: run_steps(spark, STEPS, sources, text.replace("$method", method)) for name, text in TRACES.items()}
+    out = run_steps(spark, STEPS, sources, {name: text.replace("$method", method) for name, text in TRACES.items()})
     out["context"] = out["context"].selectExpr("q", "method", "family", "route_name", "risk", "status", "missing", f"substring(context, 1, {max_chars}) AS context", f"length(context) > {max_chars} AS truncated")
     return out
 

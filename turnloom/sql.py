@@ -172,8 +172,8 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=False)
 
 
-def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], text: str) -> DataFrame:
-    """The text's rows over the steps, each step a DataFrame of its own; ``sources`` are tables that no step makes."""
+def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], texts: dict[str, str]) -> dict[str, DataFrame]:
+    """The rows of each text over the steps, which they share, each a DataFrame of its own; ``sources`` are tables that no step makes."""
     tables = dict(sources)
 
     def rows(sql):
@@ -188,11 +188,11 @@ def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], text: s
             spark.catalog.dropTempView(view)
         return df
 
-    for step in needed(steps, text):
+    for step in needed(steps, " ".join(texts.values())):
         if step.name not in tables:
             df = rows(render(step.text, 0))
             tables[step.name] = kept(df) if step.keep else df
-    return rows(render(text, 0))
+    return {name: rows(render(text, 0)) for name, text in texts.items()}
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,7 @@ class Plan:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         read = tables_in(" ".join([self.text, *[s.text for s in needed(self.steps, self.text)]]))
-        return run_steps(spark, self.steps, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}, self.text)
+        return run_steps(spark, self.steps, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}, {"rows": self.text})["rows"]
 
     def chained(self) -> str:
         return "WITH " + ",\n".join(f"{s.name} AS ({render(s.text, 1)})" for s in needed(self.steps, self.text)) + "\n" + render(self.text, 1)
