@@ -106,7 +106,7 @@ BONUS = {
     (2, "I love hiking with"): (0.55 + 0.12, 0.55, 0.0, 0.0, 0.0, "hiking with my dog rex"),
     (2, "My favorite trail is"): (0.25 + 0.12, 0.25, 0.0, 0.18, 0.0, "trail is blue ridge"),
     (2, "Do you like hiking?"): (0.55 + 0.12, 0.55, 0.0, 0.0, 0.35, "hiking"),
-    (2, "[image: a cat]"): (0.12, 0.0, 0.0, 0.0, 0.15, ""),
+    (2, "[image: a cat]"): (0.12, 0.0, 0.0, 0.0, 0.35, ""),
     (3, "We met twice last"): (0.45, 0.0, 0.0, 0.18, 0.0, ""),
 }
 
