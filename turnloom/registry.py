@@ -1,10 +1,10 @@
 """All queries of the library outside the llm subpackage."""
 
 from .functions import routes, text, tokens
-from .operators import aggregates, filters, graph, joins, lookups, memory, quality, scores, sets, turns, windows
+from .operators import aggregates, filters, graph, joins, lookups, memory, quality, recurrences, scores, sets, turns, windows
 from .plans import evaluation, evidence, gates, metrics, retrieval, routing, searches
 from .streaming import events, folds
 from .sql import collect
 
 FLAGSHIP = "x_flagship_lexical_topk"
-QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, events, folds, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, routing, turns, routes)
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, quality, recurrences, events, folds, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, routing, turns, routes)
