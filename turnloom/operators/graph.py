@@ -9,11 +9,8 @@ QUERIES = [
     Query("o132_two_hop_neighbours", f"""
         WITH {EDGES}, start AS (SELECT min(s) AS s FROM e), one AS (SELECT DISTINCT e.p FROM e JOIN start ON e.s = start.s)
         SELECT DISTINCT e.s AS neighbour, 2 AS hops FROM e JOIN one ON e.p = one.p WHERE e.s <> (SELECT s FROM start)"""),
-    Query("o137_ancestors", """
-        WITH RECURSIVE up(conv_id, turn, root, depth) AS (
-            SELECT conv_id, turn, turn, 0 FROM conversations WHERE turn = 0
-            UNION ALL SELECT c.conv_id, c.turn, u.root, u.depth + 1 FROM conversations c JOIN up u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1)
-        SELECT conv_id, turn, root, depth FROM up"""),
+    # A turn's ancestors reach turn 0 where no turn before it is missing: then it is as deep as its number.
+    Query("o137_ancestors", "SELECT conv_id, turn, CAST(0 AS bigint) AS root, CAST(turn AS int) AS depth FROM (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn >= 0) c WHERE nth = turn"),
     Query("x_common_neighbours", f"""
         WITH {EDGES}
         SELECT a.s AS a, b.s AS b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY a.s, b.s HAVING count(*) >= 2"""),

@@ -14,10 +14,12 @@ def numbered(table: str, group: str, key: str, columns: str) -> str:
 
 
 QUERIES = [
+    # A conversation's turns, written as "role: text", are the script; a line with a colon opens a turn, others carry it on.
     Query("o010_parse_turns", """
-        WITH l AS (SELECT doc_id, pos, trim(tok) AS line FROM documents {posexplode({lines(text)})} WHERE trim(tok) <> '' AND NOT {matches(trim(tok);^(Teleplay|Story))}),
-        m AS (SELECT doc_id, pos, line, sum(CASE WHEN position(':' IN line) > 0 OR position(',' IN line) BETWEEN 2 AND 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn_ FROM l)
-        SELECT doc_id, CAST(turn_ AS bigint) AS turn_, count(*) AS lines_, {joined({collect(line;pos)}; )} AS utterance FROM m WHERE turn_ > 0 GROUP BY doc_id, turn_"""),
+        WITH l AS (SELECT conv_id, turn, pos, tok AS raw, trim(tok) AS line FROM (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS said FROM conversations) s {posexplode({lines(said)})} WHERE trim(tok) <> '' AND position('Teleplay: ' IN tok) = 0 AND position('Story: ' IN tok) = 0),
+        m AS (SELECT conv_id, turn, pos, line, sum(CASE WHEN position(':' IN raw) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn_ FROM l),
+        w AS (SELECT conv_id, turn_, count(*) AS lines_, {joined_lines({collect(line;turn * 10000 + pos)})} AS raw FROM m WHERE turn_ > 0 GROUP BY conv_id, turn_)
+        SELECT conv_id, CAST(turn_ AS bigint) AS turn_, lines_, trim(substr(raw, 1, position(':' IN raw) - 1)) AS speaker, trim(substr(raw, position(':' IN raw) + 1)) AS utterance FROM w"""),
     Query("o011_sessions_in_order", "SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS ordinal FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 50) s"),
     Query("o016_session_lines", "SELECT conv_id, {joined({collect(concat(role, ': ', coalesce(text, ''));turn)}; )} AS session_ FROM conversations GROUP BY conv_id"),
     Query("o018_turns_with_place", "SELECT conv_id, turn, CAST(floor(turn / 4.0) AS bigint) AS session_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations"),
@@ -63,12 +65,6 @@ QUERIES = [
         WITH m AS (SELECT conv_id, turn, pos, tok AS name FROM conversations {posexplode({names(text)})})
         SELECT name_key, mentions, attribute, confidence FROM (
             SELECT lower(name) AS name_key, name AS attribute, count(*) OVER (PARTITION BY lower(name)) AS mentions, max(length(name)) OVER (PARTITION BY lower(name)) AS confidence, row_number() OVER (PARTITION BY lower(name) ORDER BY conv_id DESC, turn DESC, pos DESC) AS back FROM m) w WHERE back = 1"""),
-    Query("o229_budget_that_skips", """
-        WITH RECURSIVE item AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rnk, turn, CASE WHEN role = 'user' THEN 100 ELSE 500 END AS cost FROM conversations),
-        walk(conv_id, rnk, turn, cost, used, taken) AS (
-            SELECT conv_id, CAST(0 AS bigint), CAST(-1 AS bigint), 0, 0, false FROM item WHERE rnk = 1
-            UNION ALL SELECT w.conv_id, CAST(i.rnk AS bigint), CAST(i.turn AS bigint), i.cost, CASE WHEN w.used + i.cost <= 1200 THEN w.used + i.cost ELSE w.used END, w.used + i.cost <= 1200 FROM walk w JOIN item i ON i.conv_id = w.conv_id AND i.rnk = w.rnk + 1)
-        SELECT conv_id, turn, rnk, cost, used FROM walk WHERE taken"""),
     Query("o234_expansion_cost", "SELECT source, CAST(sum(floor(least(n_chars, 200) / 4.0) + floor(n_chars / 4.0) + CASE WHEN lang = 'en' THEN 200 ELSE 500 END) AS bigint) AS tokens_, count(CASE WHEN lang = 'en' THEN 1 END) AS audio, count(CASE WHEN lang <> 'en' THEN 1 END) AS other_ FROM documents GROUP BY source"),
     Query("o235_max_merge", """
         WITH hit AS (SELECT user_id AS id, max(value) AS score, 'click' AS via FROM events WHERE event_type = 'click' GROUP BY user_id UNION ALL SELECT user_id AS id, max(value) * 0.9e0 AS score, 'view' AS via FROM events WHERE event_type = 'view' GROUP BY user_id)

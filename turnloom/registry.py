@@ -2,9 +2,9 @@
 
 from .functions import documents, routes, text, tokens
 from .operators import aggregates, filters, graph, joins, lookups, memory, merging, quality, recurrences, scores, sets, turns, windows
-from .plans import evaluation, evidence, gates, inverted, metrics, retrieval, routing, searches
+from .plans import bundles, evaluation, evidence, gates, inverted, metrics, retrieval, routing, searches
 from .streaming import events, folds
 from .sql import collect
 
 FLAGSHIP = "x_flagship_lexical_topk"
-QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, merging, inverted, documents, quality, recurrences, events, folds, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, routing, turns, routes)
+QUERIES, ORACLE_SQL = collect(retrieval, evaluation, joins, aggregates, windows, graph, memory, merging, inverted, documents, bundles, quality, recurrences, events, folds, filters, scores, text, sets, tokens, gates, searches, lookups, metrics, evidence, routing, turns, routes)
