@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions.routes import SECRETS
+from turnloom.plans.metrics import PLAIN
+from turnloom.sql import render
 
 
 def balanced_end(text: str, start: int) -> int | None:
@@ -162,14 +164,14 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return run(prediction, reference)
 
 
-def simple_tokens(text: Column) -> Column:
-    """Lower-case words; full stops, commas, exclamation and question marks fall away."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[.,!?]", " "), r"\s+"), lambda t: t != "")
+def metric_tokens(column: str) -> Column:
+    """The tokens that answers are compared by: no punctuation, no articles, one token per Chinese, Japanese or Korean character."""
+    return F.expr(render(PLAIN.replace("$", column), 0))
 
 
 def turn_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the one before it in its conversation."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", simple_tokens(F.col("text")).alias("toks"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", metric_tokens("text").alias("toks"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("toks").alias("earlier"))
     return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(rouge_l(F.col("toks"), F.col("earlier")), 6).alias("rouge_l"))
 
