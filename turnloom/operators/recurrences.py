@@ -42,7 +42,8 @@ def running(df: DataFrame, key: str, order: str, scale, shift, start=0.0, low=No
     by = [key, order] + ([tie] if tie else [])
     step = {"_scale": scale, "_shift": shift, "_low": low, "_high": high}
     rows = df.where(F.col(order).isNotNull()).withColumns({k: (F.lit(v) if not hasattr(v, "cast") else v).cast("double") for k, v in step.items()} | {"_start": (F.lit(start) if not hasattr(start, "cast") else start).cast("double")})
-    dealt = kept(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    # Parts are ranges of rows in order; a part is written once, so both passes below see the same parts.
+    dealt = kept(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())).repartition("_part").sortWithinPartitions("_part", *by)
     kind = df.schema[key].dataType.simpleString()
 
     def compose(batches):
@@ -50,7 +51,7 @@ def running(df: DataFrame, key: str, order: str, scale, shift, start=0.0, low=No
         for batch in batches:
             keys, parts, starts = (batch.column(k).to_pylist() for k in (0, 1, 6))
             for k, p, s, own in zip(keys, parts, starts, _steps(batch.columns[2:6])):
-                if not many or k != current[0]:
+                if not many or (k, p) != current[:2]:
                     if many:
                         yield emit(current, held)
                     current, held, many = (k, p, s), own, True
@@ -78,14 +79,14 @@ def running(df: DataFrame, key: str, order: str, scale, shift, start=0.0, low=No
         for batch in batches:
             out_values = []
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            for k, begin, (a, b, lo, hi) in zip(batch.column(at[key]).to_pylist(), batch.column(at["_begin"]).to_pylist(), _steps([batch.column(at[c]) for c in ("_scale", "_shift", "_low", "_high")])):
+            for k, begin, (a, b, lo, hi) in zip(zip(batch.column(at[key]).to_pylist(), batch.column(at["_part"]).to_pylist()), batch.column(at["_begin"]).to_pylist(), _steps([batch.column(at[c]) for c in ("_scale", "_shift", "_low", "_high")])):
                 if not many or k != current:
                     current, value, many = k, begin, True
                 value = min(hi, max(lo, a * value + b))
                 out_values.append(value)
             yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in names[:-1]], pa.array(out_values, pa.float64())], names)
 
-    met = dealt.join(F.broadcast(begins), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).drop("_key", "_at")
+    met = dealt.join(F.broadcast(begins), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).drop("_key", "_at").sortWithinPartitions("_part", *by)
     return met.mapInArrow(run, schema)
 
 

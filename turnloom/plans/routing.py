@@ -121,8 +121,8 @@ SEARCH = (
     Step("long_term", "SELECT DISTINCT tok FROM query_term WHERE length(tok) >= 5"),
     Step("piece", "SELECT DISTINCT tok AS word, substr(tok, CAST(place AS int), 5) AS five FROM long_word {places(length(tok) - 4)}"),
     Step("held", "SELECT t.tok AS term, p.word FROM long_term t JOIN piece p ON p.five = substr(t.tok, 1, 5) WHERE {inside(p.word;t.tok)} GROUP BY t.tok, p.word"),
-    Step("hit_equal", "SELECT a.q, a.variant, c.episode, c.nth_, a.tok, a.n AS asked_n, c.n, c.own FROM query_term a JOIN component_term c ON c.scope = a.scope AND c.tok = a.tok"),
-    Step("hit_inside", "SELECT a.q, a.variant, c.episode, c.nth_, a.tok, max(c.own) AS own FROM query_term a JOIN held h ON h.term = a.tok JOIN component_term c ON c.scope = a.scope AND c.tok = h.word GROUP BY a.q, a.variant, c.episode, c.nth_, a.tok"),
+    Step("hit_equal", "SELECT a.q, a.variant, c.episode, c.nth_, a.tok, a.n AS asked_n, c.n, c.own FROM query_term a JOIN component_term c ON c.scope = a.scope AND c.tok = a.tok", keep=True),
+    Step("hit_inside", "SELECT a.q, a.variant, c.episode, c.nth_, a.tok, max(c.own) AS own FROM query_term a JOIN held h ON h.term = a.tok JOIN component_term c ON c.scope = a.scope AND c.tok = h.word GROUP BY a.q, a.variant, c.episode, c.nth_, a.tok", keep=True),
     Step("point", "SELECT q, variant, episode, nth_, sum(least(asked_n, n)) AS shared, 0 AS inside FROM hit_equal GROUP BY q, variant, episode, nth_ UNION ALL SELECT q, variant, episode, nth_, 0 AS shared, count(*) AS inside FROM hit_inside GROUP BY q, variant, episode, nth_"),
     Step("hit", "SELECT p.q, p.variant, p.episode, p.nth_, round(CAST(sum(p.shared) AS double) / max(s.n) + 5e-2 * sum(p.inside), 9) AS score FROM point p JOIN query_size s ON s.q = p.q AND s.variant = p.variant GROUP BY p.q, p.variant, p.episode, p.nth_"),
     Step("best_hit", best("SELECT q, variant, episode, nth_, score FROM hit", "q, variant", "score DESC, episode, nth_", "64"), keep=True),

@@ -8,6 +8,7 @@ A few constructs differ between the two; ``render`` fills them in:
 """
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -162,14 +163,20 @@ def needed(steps, text: str) -> list[Step]:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Rows for several readers: a checkpoint where the cluster names a folder for them, else Spark's cache."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    """Rows for several readers, written once to the folder that the cluster names in spark.checkpoint.dir.
+
+    That ends their lineage and their plan: lost executors cost a reread. Only where the
+    setting is absent and Spark runs in one JVM, as in tests, a local folder is used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        return df.persist()
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="turnloom-")
+    path = f"{folder.rstrip('/')}/turnloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], texts: dict[str, str]) -> dict[str, DataFrame]:
