@@ -1,6 +1,7 @@
 """Tokens, sentences, entities, answers and keys as scalars, applied to whole tables."""
 
 from turnloom.plans.evidence import CAUSAL, CONTENT, PREFERENCE, SENTENCES, SOCIAL, STOP, TEMPORAL, marked
+from turnloom.plans.metrics import ANSWER
 from turnloom.sql import Query
 
 NAMES = f"{{named({{all_entity({{blank_letter_beyond_ascii(text)}})}};{STOP})}}"
@@ -22,11 +23,11 @@ QUERIES = [
         SELECT conv_id, turn, CASE WHEN {marked(TEMPORAL)} THEN 'temporal' WHEN {marked(CAUSAL)} THEN 'causal' WHEN {marked(PREFERENCE)} THEN 'preference/attribute' WHEN {marked(SOCIAL)} THEN 'social'
                WHEN {{size({{distinct(names_)}})}} >= 2 THEN 'entity' ELSE 'event-update' END AS relation FROM t"""),
     Query("o271_stable_id", "SELECT event_id, concat('event_', substr({sha1(concat_ws('||', CAST(user_id AS varchar(20)), event_type, CAST(event_id AS varchar(20))))}, 1, 12)) AS stable_id FROM events"),
-    Query("o272_normalised_answer", "SELECT conv_id, turn, {joined({without({words(text)};'a', 'an', 'the')}; )} AS answer FROM conversations"),
+    Query("o272_normalised_answer", f"SELECT conv_id, turn, {{joined({ANSWER.replace('$', 'text')}; )}} AS answer FROM conversations"),
     Query("o279_refusal", "SELECT conv_id, turn, contains(lower(text), 'cannot') OR contains(lower(text), 'not mentioned') OR contains(lower(text), 'no information') OR contains(lower(text), 'sorry') AS refused FROM conversations WHERE role = 'assistant'"),
-    Query("o281_one_option", """
-        WITH o AS (SELECT doc_id, upper(text) AS t FROM documents), c AS (SELECT doc_id, CASE WHEN contains(t, '(A)') THEN 1 ELSE 0 END AS a, CASE WHEN contains(t, '(B)') THEN 1 ELSE 0 END AS b, CASE WHEN contains(t, '(C)') THEN 1 ELSE 0 END AS c FROM o)
-        SELECT doc_id, CASE WHEN a + b + c = 0 THEN 'none' WHEN a + b + c > 1 THEN 'ambiguous' WHEN a = 1 THEN 'A' WHEN b = 1 THEN 'B' ELSE 'C' END AS picked_option FROM c"""),
+    Query("o281_one_option", f"""
+        WITH o AS (SELECT doc_id, upper(coalesce(text, '')) AS t FROM documents), c AS (SELECT doc_id, {" || ".join(f"CASE WHEN contains(t, '({c})') THEN '{c}' ELSE '' END" for c in "ABCDE")} AS found FROM o)
+        SELECT doc_id, CASE WHEN found = '' THEN 'none' WHEN length(found) > 1 THEN 'ambiguous' ELSE found END AS picked_option FROM c"""),
     Query("o333_time_expression", "SELECT doc_id, CASE WHEN contains(lower(text), 'yesterday') THEN 'yesterday' WHEN contains(lower(text), 'tomorrow') THEN 'tomorrow' WHEN contains(lower(text), 'last week') THEN 'last week' ELSE regexp_extract(lower(text), '(monday|tuesday|wednesday|thursday|friday|saturday|sunday|[0-9][0-9]:[0-9][0-9])', 0) END AS expression FROM documents"),
     Query("o334_relative_dates", "SELECT event_id, event_type, CAST({epoch(date_trunc('day', ts))} AS bigint) + CASE event_type WHEN 'view' THEN -86400 WHEN 'click' THEN 86400 WHEN 'purchase' THEN -604800 ELSE 0 END AS day_s FROM events"),
     Query("o337_clock_suffix", "SELECT page_id, coalesce(try_cast(regexp_extract(html, '([0-2][0-9]):([0-5][0-9])', 1) AS int), 9) AS hour_, coalesce(try_cast(regexp_extract(html, '([0-2][0-9]):([0-5][0-9])', 2) AS int), 0) AS minute_ FROM pages"),

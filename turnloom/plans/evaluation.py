@@ -7,24 +7,6 @@ PAIRED = """
              FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 QUERIES = [
-    Query("o278_set_f1", f"""
-        WITH {PAIRED},
-        n AS (SELECT conv_id, turn, {{common(gold;said)}} AS shared, {{size({{distinct(gold)}})}} AS g, {{size({{distinct(said)}})}} AS s FROM pair)
-        SELECT conv_id, turn, CAST(shared AS bigint) AS shared, CASE WHEN g + s = 0 THEN 0 ELSE CAST(2 * shared AS double) / (g + s) END AS f1 FROM n"""),
-    Query("o280_bag_f1", f"""
-        WITH {PAIRED},
-        g AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(gold)}} GROUP BY conv_id, turn, tok),
-        s AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(said)}} GROUP BY conv_id, turn, tok),
-        shared AS (SELECT g.conv_id, g.turn, sum(least(g.n, s.n)) AS m FROM g JOIN s ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.tok = s.tok GROUP BY g.conv_id, g.turn)
-        SELECT p.conv_id, p.turn, CAST(coalesce(m, 0) AS bigint) AS shared, CASE WHEN {{size(gold)}} + {{size(said)}} = 0 THEN 0 ELSE CAST(2 * coalesce(m, 0) AS double) / ({{size(gold)}} + {{size(said)}}) END AS f1
-        FROM pair p LEFT JOIN shared x ON p.conv_id = x.conv_id AND p.turn = x.turn"""),
-    Query("o283_bleu1", f"""
-        WITH {PAIRED},
-        g AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(gold)}} GROUP BY conv_id, turn, tok),
-        s AS (SELECT conv_id, turn, tok, count(*) AS n FROM pair {{explode(said)}} GROUP BY conv_id, turn, tok),
-        clipped AS (SELECT s.conv_id, s.turn, sum(least(g.n, s.n)) AS m FROM g JOIN s ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.tok = s.tok GROUP BY s.conv_id, s.turn)
-        SELECT p.conv_id, p.turn, round(CASE WHEN {{size(said)}} = 0 THEN 0 ELSE CAST(coalesce(m, 0) AS double) / {{size(said)}} * CASE WHEN {{size(said)}} > {{size(gold)}} THEN 1 ELSE exp(1 - CAST({{size(gold)}} AS double) / {{size(said)}}) END END, 6) AS bleu1
-        FROM pair p LEFT JOIN clipped x ON p.conv_id = x.conv_id AND p.turn = x.turn"""),
     Query("x_exact_match", f"""
         WITH {PAIRED}
         SELECT conv_id, turn, {{joined(gold; )}} = {{joined(said; )}} AS same, abs(length(gold_text) - length(said_text)) AS length_gap FROM pair"""),

@@ -8,7 +8,10 @@ from turnloom.sql import Query
 
 PAIRS = "pair AS (SELECT u.conv_id, u.turn, u.text AS gold_text, a.text AS said_text FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 PLAIN = "{without({by_character({split_ws({no_punctuation($)})})};'a', 'an', 'the')}"
-ASCII = "{without({split_ws({no_ascii_punctuation(replace(lower(coalesce($, '')), ',', ''))})};'a', 'an', 'the', 'and')}"
+ASCII = "{fields({no_ascii_punctuation({no_words(lower(replace(coalesce($, ''), ',', ''));a|an|the|and)})})}"
+#: A text without ASCII punctuation and articles; ``{metric_fields(x)}`` cuts it into tokens.
+METRIC = "{no_words({ascii_spaced($)};a|an|the)}"
+ANSWER = "{fields({no_words({no_punctuation($)};a|an|the)})}"
 SIMPLE = "{split_ws(translate(lower(coalesce($, '')), '.,!?', '    '))}"
 SPACES = "{split_ws(lower(coalesce($, '')))}"
 QUOTED = "{apostrophe_words($)}"
@@ -18,6 +21,12 @@ def tokens(kind):
     return f"{PAIRS}, t AS (SELECT conv_id, turn, {kind.replace('$', 'gold_text')} AS gold, {kind.replace('$', 'said_text')} AS said FROM pair)"
 
 
+def metric_pairs():
+    """Turns and the answers that follow them, cut by the rule of ``METRIC``."""
+    normal = f"n AS (SELECT conv_id, turn, {METRIC.replace('$', 'gold_text')} AS gold_norm, {METRIC.replace('$', 'said_text')} AS said_norm FROM pair)"
+    return f"{PAIRS}, {normal}, t AS (SELECT conv_id, turn, {{metric_fields(gold_norm)}} AS gold, {{metric_fields(said_norm)}} AS said FROM n)"
+
+
 def bag(kind):
     """Adds ``m``, the size of the bag that both share."""
     return f"""{tokens(kind)},
@@ -35,7 +44,10 @@ QUERIES = [
     Query("o275_smoothed_bleu1", f"""
         WITH {bag(PLAIN)}
         SELECT conv_id, turn, CASE WHEN m = 0 THEN 0.0 ELSE m / ns * CASE WHEN ns > ng THEN 1.0 ELSE exp(1 - ng / ns) END END AS bleu1 FROM b"""),
-    Query("o277_metric_tokens", f"SELECT doc_id, {{size({PLAIN.replace('$', 'text')})}} AS n, {{sha256({{joined({PLAIN.replace('$', 'text')}; )}})}} AS tokens_sha FROM documents"),
+    Query("o277_metric_tokens", f"WITH n AS (SELECT doc_id, {METRIC.replace('$', 'text')} AS norm FROM documents), t AS (SELECT doc_id, {{metric_fields(norm)}} AS toks FROM n) SELECT doc_id, {{size(toks)}} AS n, {{sha256({{joined(toks; )}})}} AS tokens_sha FROM t"),
+    Query("o278_set_f1", f"WITH {metric_pairs()} SELECT conv_id, turn, CAST({{common(gold;said)}} AS bigint) AS shared, {SET_F1} AS f1 FROM t"),
+    Query("o280_bag_f1", f"WITH {bag(QUOTED)} SELECT conv_id, turn, CAST(m AS bigint) AS shared, CASE WHEN ng = 0 AND ns = 0 THEN 1.0 WHEN m = 0 THEN 0.0 ELSE 2 * m / (ng + ns) END AS f1 FROM b"),
+    Query("o283_bleu1", f"WITH {bag(QUOTED)} SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0.0 ELSE m / ns * CASE WHEN ns > ng THEN 1.0 ELSE power(CAST(2.718281828 AS double), 1 - ng / ns) END END, 9) AS bleu1 FROM b"),
     Query("o282_bag_f1_of_quoted_words", f"""
         WITH {bag(QUOTED)}
         SELECT conv_id, turn, CASE WHEN ng = 0 AND ns = 0 THEN 1.0 WHEN m = 0 THEN 0.0 ELSE 2 * m / (ng + ns) END AS f1 FROM b"""),

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Ranges of Chinese, Japanese and Korean characters.
 CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
+METRIC_CJK = "\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af"
+#: White space of all scripts, as a class for both engines.
+SPACE = r"\s\x0b\x1c-\x1f\x85\pZ"
 #: construct: (Spark, DuckDB), $1 and $2 standing for its arguments.
 DIALECTS = {
     "words": ("regexp_extract_all(lower($1), '[a-z0-9]+', 0)", "regexp_extract_all(lower($1), '[a-z0-9]+')"),
@@ -56,6 +59,11 @@ DIALECTS = {
     "no_ascii_punctuation": ("regexp_replace($1, '[\\\\x21-\\\\x2f\\\\x3a-\\\\x40\\\\x5b-\\\\x60\\\\x7b-\\\\x7e]', '')", "regexp_replace($1, '[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]', '', 'g')"),
     "by_character": (f"flatten(transform($1, c -> CASE WHEN c RLIKE '[{CJK}]' THEN regexp_extract_all(c, '[a-z0-9]+|[{CJK}]', 0) ELSE array(c) END))", f"flatten(list_transform($1, lambda c: CASE WHEN regexp_matches(c, '[{CJK}]') THEN regexp_extract_all(c, '[a-z0-9]+|[{CJK}]') ELSE [c] END))"),
     "apostrophe_words": ("regexp_extract_all(lower(coalesce($1, '')), \"[a-z0-9']+\", 0)", "regexp_extract_all(lower(coalesce($1, '')), '[a-z0-9\'\']+')"),
+    "fields": (f"filter(split($1, '[{SPACE}]+'), t -> t <> '')".replace("\\", "\\\\"), f"list_filter(string_split_regex($1, '[{SPACE}]+'), lambda t: t <> '')"),
+    "ascii_spaced": (r"regexp_replace(lower(coalesce($1, '')), '[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]', ' ')", r"regexp_replace(lower(coalesce($1, '')), '[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]', ' ', 'g')"),
+    # Neighbours share the character between them, so a second pass takes what the first had to leave.
+    "no_words": (r"regexp_replace($1, '(?<![\\pL\\pN_])($2)(?![\\pL\\pN_])', ' ')", r"regexp_replace(regexp_replace($1, '(^|[^\pL\pN_])(?:$2)($|[^\pL\pN_])', '\1 \2', 'g'), '(^|[^\pL\pN_])(?:$2)($|[^\pL\pN_])', '\1 \2', 'g')"),
+    "metric_fields": (f"(CASE WHEN $1 RLIKE '[{METRIC_CJK}]' THEN concat(regexp_extract_all($1, '[{METRIC_CJK}]', 0), regexp_extract_all($1, '[a-z0-9]+', 0)) ELSE {{fields($1)}} END)", f"(CASE WHEN regexp_matches($1, '[{METRIC_CJK}]') THEN list_concat(regexp_extract_all($1, '[{METRIC_CJK}]'), regexp_extract_all($1, '[a-z0-9]+')) ELSE {{fields($1)}} END)"),
     "at_second": ("timestamp_seconds($1)", "to_timestamp($1)::timestamp"),
     "quantile": ("percentile($1, $2)", "quantile_cont($1, $2)"),
     "named": ("filter($1, x -> lower(x) NOT IN ($2))", "list_filter($1, lambda x: lower(x) NOT IN ($2))"),
