@@ -38,7 +38,6 @@ QUERIES = [
     Query("o285_evidence_in_context", "SELECT b.conv_id, count(*) AS evidence, count(CASE WHEN position(substr(b.text, 1, 120) IN c.context_) > 0 THEN 1 END) AS found FROM conversations b JOIN (SELECT conv_id, {joined({collect(text;turn)}; )} AS context_ FROM conversations WHERE role <> 'system' GROUP BY conv_id) c ON c.conv_id = b.conv_id GROUP BY b.conv_id"),
     Query("o292_index_tokens", "SELECT doc_id, {joined({longer({words(text)};1)}; )} AS tokens_ FROM documents"),
     Query("o293_stripped_tokens", "SELECT conv_id, turn, {joined({split_ws({no_punctuation(text)})}; )} AS tokens_ FROM conversations"),
-    Query("o300_strategy", "SELECT conv_id, turn, CASE WHEN {matches(lower(text);(show|evidence|proof))} THEN 5 WHEN {matches(lower(text);(when|yesterday|last|date))} THEN 20 ELSE 10 END AS k, CASE WHEN contains(lower(text), 'image') AND NOT contains(lower(text), 'audio') THEN 'image' WHEN contains(lower(text), 'audio') AND NOT contains(lower(text), 'image') THEN 'audio' END AS modality FROM conversations"),
     Query("o451_highest_redaction", "SELECT source, CASE max(CASE WHEN l.toxic = 1 THEN 2 WHEN l.quality = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS level_ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source"),
     Query("o296_redundancy", """
         WITH s AS (SELECT conv_id, turn, {distinct({words(text)})} AS w FROM conversations),

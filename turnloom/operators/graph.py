@@ -6,9 +6,6 @@ EDGES = "e AS (SELECT DISTINCT l.l_suppkey AS s, l.l_partkey AS p FROM lineitem
 
 QUERIES = [
     Query("x_degrees", f"WITH {EDGES} SELECT s AS node, count(*) AS degree, min(p) AS first_neighbour FROM e GROUP BY s"),
-    Query("o132_two_hop_neighbours", f"""
-        WITH {EDGES}, start AS (SELECT min(s) AS s FROM e), one AS (SELECT DISTINCT e.p FROM e JOIN start ON e.s = start.s)
-        SELECT DISTINCT e.s AS neighbour, 2 AS hops FROM e JOIN one ON e.p = one.p WHERE e.s <> (SELECT s FROM start)"""),
     # A turn's ancestors reach turn 0 where no turn before it is missing: then it is as deep as its number.
     Query("o137_ancestors", "SELECT conv_id, turn, CAST(0 AS bigint) AS root, CAST(turn AS int) AS depth FROM (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn >= 0) c WHERE nth = turn"),
     Query("x_common_neighbours", f"""

@@ -26,18 +26,11 @@ QUERIES = [
         WITH k AS (SELECT lower(trim(p_name)) AS name, 0 AS tier, p_partkey AS id FROM part UNION ALL SELECT lower(trim(p_brand)) AS name, 1 AS tier, p_partkey AS id FROM part)
         SELECT name, id, tier FROM (SELECT name, id, tier, row_number() OVER (PARTITION BY name ORDER BY tier, id) AS rnk FROM k) w WHERE rnk = 1"""),
     Query("o127_bridge_edges", """
-        WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), a AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey < 5), t AS (SELECT p_partkey AS node FROM part WHERE p_size <= 5),
-        m AS (SELECT e.s, e.p FROM e JOIN a ON e.s = a.node JOIN t ON e.p = t.node UNION SELECT e.s, e.p FROM e JOIN t ON e.s = t.node JOIN a ON e.p = a.node)
-        SELECT s, p FROM m ORDER BY s, p LIMIT 200"""),
+        WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+        SELECT e.s, e.p FROM e JOIN supplier ON s_suppkey = e.s JOIN part ON p_partkey = e.p WHERE s_nationkey < 5 AND p_size <= 5"""),
     Query("o130_event_with_units", """
         SELECT o.o_orderkey, o.o_orderstatus, count(l.l_partkey) AS units_, {joined({collect(CAST(l.l_partkey AS varchar(20));l.l_partkey)}; )} AS parts
         FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_orderstatus"""),
-    Query("o134_paths_within_hops", """
-        WITH RECURSIVE e AS (SELECT DISTINCT a.role AS s, b.role AS o, CASE WHEN length(a.text) > length(b.text) THEN 'shortens' ELSE 'lengthens' END AS predicate FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-        walk(node, hops, path) AS (
-            SELECT CAST('system' AS varchar(200)), 0, CAST('system' AS varchar(2000))
-            UNION ALL SELECT e.o, w.hops + 1, CAST(w.path || ' -' || e.predicate || '-> ' || e.o AS varchar(2000)) FROM walk w JOIN e ON e.s = w.node WHERE w.hops < 3 AND w.path NOT LIKE '%' || e.o || '%' AND (w.hops > 0 OR e.predicate = 'lengthens'))
-        SELECT node, hops, path FROM (SELECT node, hops, path, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS rnk FROM walk) r WHERE rnk = 1"""),
     Query("o138_children", "SELECT p.conv_id, p.turn AS parent_turn, c.turn AS child_turn FROM conversations p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn = p.turn + 1"),
     Query("o186_store_counts", "SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions_, (SELECT count(*) FROM conversations WHERE role = 'user') AS messages_, (SELECT count(*) FROM labels WHERE quality = 1) AS good_, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors_"),
     Query("o188_tool_summary", "SELECT event_id, event_type AS tool, {json_int(props;k)} AS target FROM events WHERE event_type IN ('click', 'purchase')"),
