@@ -3,8 +3,6 @@
 from turnloom.sql import Query
 
 QUERIES = [
-    Query("o302_question_family", """
-        SELECT conv_id, turn, CASE WHEN {matches(lower(text);(when|date|day|year|time))} THEN 'temporal' WHEN {matches(lower(text);(how many|count|number))} THEN 'count' WHEN {matches(lower(text);(where|place|city))} THEN 'location' WHEN {matches(lower(text);(who|name))} THEN 'person' ELSE 'fact' END AS family FROM conversations WHERE role = 'user'"""),
     Query("o318_compact_fragment", "SELECT doc_id, CASE WHEN length(t) > 160 THEN concat(substr(t, 1, 157), '...') ELSE t END AS fragment FROM (SELECT doc_id, trim({squeeze(text)}) AS t FROM documents) x"),
     Query("o320_sha256_text", "SELECT item_id, {sha256(text)} AS digest FROM benchmark"),
     Query("o321_normalised_question", "SELECT conv_id, turn, lower(trim({squeeze(text)})) AS question FROM conversations WHERE role = 'user'"),

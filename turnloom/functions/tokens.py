@@ -30,7 +30,6 @@ QUERIES = [
         SELECT doc_id, CASE WHEN found = '' THEN 'none' WHEN length(found) > 1 THEN 'ambiguous' ELSE found END AS picked_option FROM c"""),
     Query("o333_time_expression", "SELECT doc_id, CASE WHEN contains(lower(text), 'yesterday') THEN 'yesterday' WHEN contains(lower(text), 'tomorrow') THEN 'tomorrow' WHEN contains(lower(text), 'last week') THEN 'last week' ELSE regexp_extract(lower(text), '(monday|tuesday|wednesday|thursday|friday|saturday|sunday|[0-9][0-9]:[0-9][0-9])', 0) END AS expression FROM documents"),
     Query("o334_relative_dates", "SELECT event_id, event_type, CAST({epoch(date_trunc('day', ts))} AS bigint) + CASE event_type WHEN 'view' THEN -86400 WHEN 'click' THEN 86400 WHEN 'purchase' THEN -604800 ELSE 0 END AS day_s FROM events"),
-    Query("o337_clock_suffix", "SELECT page_id, coalesce(try_cast(regexp_extract(html, '([0-2][0-9]):([0-5][0-9])', 1) AS int), 9) AS hour_, coalesce(try_cast(regexp_extract(html, '([0-2][0-9]):([0-5][0-9])', 2) AS int), 0) AS minute_ FROM pages"),
     Query("o356_binary_response", "SELECT conv_id, turn, CASE WHEN {matches(lower(text);(wrong|incorrect))} THEN 0 WHEN {matches(lower(text);(correct|yes))} THEN 1 END AS verdict FROM conversations"),
     Query("o357_first_number", "SELECT doc_id, least(greatest(try_cast(regexp_extract(text, '[0-9]+([.][0-9]+)?', 0) AS double), 0), 1) AS score FROM documents"),
     Query("o358_record_key", "SELECT o_orderkey, {sha256(concat('[', CAST(o_custkey AS varchar(20)), ',', CAST(o_orderkey AS varchar(20)), ',', o_orderstatus, ']'))} AS record_key FROM orders"),

@@ -3,10 +3,6 @@
 from turnloom.plans.evaluation import PAIRED
 from turnloom.sql import Query
 
-HIT = """
-    hit AS (SELECT b.item_id, d.doc_id, count(*) AS shared FROM (SELECT DISTINCT item_id, tok FROM benchmark {explode({words(text)})}) b
-            JOIN (SELECT DISTINCT doc_id, tok FROM documents {explode({words(text)})}) d ON b.tok = d.tok AND length(b.tok) >= 10 GROUP BY b.item_id, d.doc_id)"""
-
 QUERIES = [
     Query("o104_joined_counts", "SELECT c.c_mktsegment, count(*) AS n, count(DISTINCT c.c_custkey) AS customers FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_mktsegment"),
     Query("o105_two_tier_key", """
@@ -49,9 +45,6 @@ QUERIES = [
     Query("o197_entropy", """
         WITH c AS (SELECT role, tok, CAST(count(*) AS double) AS n FROM conversations {explode({words(text)})} GROUP BY role, tok), p AS (SELECT role, n / sum(n) OVER (PARTITION BY role) AS p FROM c)
         SELECT role, count(*) AS distinct_words, round(-sum(p * ln(p) / ln(2)), 6) AS bits FROM p GROUP BY role"""),
-    Query("o198_route_features", f"""
-        WITH {HIT}, r AS (SELECT item_id, shared, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rnk FROM hit)
-        SELECT item_id, max(shared) AS top1, max(shared) - coalesce(max(CASE WHEN rnk = 2 THEN shared END), 0) AS gap, round(avg(CAST(shared AS double)), 6) AS mean, count(*) AS n FROM r GROUP BY item_id"""),
     Query("o199_bytes_by_kind", "SELECT source, count(*) AS files, CAST(sum(octet_length({bytes(text)})) AS bigint) AS bytes_ FROM documents WHERE text IS NOT NULL GROUP BY source"),
     Query("o205_top_terms", """
         WITH t AS (SELECT conv_id, tok, count(*) AS n, min(turn * 100000 + pos) AS first_pos FROM (SELECT conv_id, turn, tok, pos FROM conversations {posexplode({words(text)})}) x WHERE length(tok) >= 4 GROUP BY conv_id, tok)

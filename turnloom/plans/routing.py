@@ -85,6 +85,8 @@ def best(rows: str, q: str, order: str, k: str, name: str = "rnk") -> str:
 
 QUESTION = Step("question_", "SELECT item_id AS q, item_id % (SELECT max(scope) + 1 FROM turn_) AS scope, coalesce(text, '') AS text, CASE item_id % 4 WHEN 0 THEN 'temporal' WHEN 3 THEN 'unanswerable' ELSE '' END AS question_type, CASE WHEN item_id % 4 = 1 THEN 'two_hop' ELSE '' END AS hop_type, '' AS answerability, '' AS dataset, '' AS asker FROM benchmark")
 
+TURN_QUESTION = Step("question_", "SELECT conv_id * 1000000 + turn AS q, conv_id AS scope, coalesce(text, '') AS text, '' AS question_type, '' AS hop_type, '' AS answerability, '' AS dataset, '' AS asker FROM conversations WHERE role = 'user'")
+
 ASKED = (
     Step(
         "framed",
@@ -377,6 +379,7 @@ QUERIES = [
     Plan("o212_slot_terminals", OF_TABLES, "SELECT q, episode, nth_, nth_choice, slot_bonus FROM terminal WHERE plan = 'slot'"),
     Plan("o126_walked_edges", OF_TABLES, "SELECT q, plan, episode, l, r, edge_type, score, rnk FROM path WHERE plan LIKE 'graph%'"),
     Plan("o127_slot_tree_bridges", OF_TABLES, "SELECT q, plan, episode, l, r, edge_type, score, rnk FROM path WHERE plan IN ('slot', 'frame')"),
+    Plan("o302_question_family", (TURN_QUESTION, *ASKED), "SELECT conv_id, turn, family FROM framed JOIN conversations ON q = conv_id * 1000000 + turn"),
     Plan("o302_question_families", OF_TABLES, "SELECT q, family FROM framed"),
     Plan("o303_anchor_terms", OF_TABLES, "SELECT q, tok, rnk FROM anchor_term"),
     Plan("o305_question_frames", OF_TABLES, "SELECT q, slot, family, intents, frame_query FROM framed"),
