@@ -4,7 +4,11 @@ Questions and turns meet on shared words, never as a full product; each question
 its top k through a ranking that Spark limits per group before the shuffle.
 """
 
-from turnloom.sql import Query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.operators.nearest import exact_nearest
+from turnloom.sql import Query, render
 
 #: Words that carry no content.
 STOP = "('the','a','an','and','of','to','in','is','it','that','this','was','for','on','with','as','by','at','be','are')"
@@ -31,11 +35,6 @@ QUERIES = [
                 GROUP BY a.item_id, t.conv_id, t.turn),
         ranked AS (SELECT item_id, conv_id, turn, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, conv_id, turn) AS rnk FROM hit)
         SELECT item_id, conv_id, turn, score, rnk FROM ranked WHERE rnk <= 5"""),
-    Query("o218_knn_cosine", """
-        WITH v AS (SELECT vec_id, embedding AS e, sqrt({dot(embedding;embedding)}) AS norm FROM embeddings),
-        hit AS (SELECT q.vec_id AS query_id, v.vec_id, round({dot(q.e;v.e)} / (q.norm * v.norm), 6) AS score
-                FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v ON q.vec_id <> v.vec_id)
-        SELECT query_id, vec_id, score, rnk FROM (SELECT hit.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM hit) r WHERE rnk <= 5"""),
     Query("o219_weighted_fusion", f"""
         WITH {TERMS},
         lexical AS (SELECT a.item_id, t.conv_id, CAST(count(DISTINCT t.tok) AS double) AS s FROM asked a JOIN terms t ON a.tok = t.tok WHERE t.role = 'user' GROUP BY a.item_id, t.conv_id),
@@ -61,3 +60,17 @@ QUERIES = [
         p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, {common(a.w;b.w)} AS both_, {size(a.w)} AS na, {size(b.w)} AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.turn - a.turn <= 8)
         SELECT conv_id, turn_a, turn_b, CAST(both_ AS bigint) AS shared, CAST(na + nb - both_ AS bigint) AS together FROM p WHERE both_ * 4 >= na + nb - both_ AND both_ > 0"""),
 ]
+
+
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 5, "cosine_of_norms")
+    return found.select("query_id", "vec_id", "score", "rnk")
+
+
+#: The same search as one comparison of all pairs.
+KNN = """
+        WITH v AS (SELECT vec_id, embedding AS e, sqrt({dot(embedding;embedding)}) AS norm FROM embeddings),
+        hit AS (SELECT q.vec_id AS query_id, v.vec_id, round({dot(q.e;v.e)} / (q.norm * v.norm), 6) AS score
+                FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v ON q.vec_id <> v.vec_id)
+        SELECT query_id, vec_id, score, rnk FROM (SELECT hit.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM hit) r WHERE rnk <= 5"""
+BUILT = {"o218_knn_cosine": (knn_cosine, render(KNN, 1))}

@@ -1,7 +1,11 @@
 """Scoped searches and what is built from their hits: filters before ranking, fused scores, distinct labels, edges, support."""
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.operators.nearest import exact_nearest
 from turnloom.operators.turns import numbered
-from turnloom.sql import Query
+from turnloom.sql import Query, render
 
 NORM = """
     unit AS (SELECT vec_id, label, embedding, {dot(embedding;embedding)} AS sq FROM embeddings),
@@ -36,8 +40,6 @@ QUERIES = [
         WITH r AS (SELECT conv_id, turn, length(text) AS weight, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rnk FROM conversations)
         SELECT conv_id, turn, weight, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM r WHERE rnk <= 3"""),
     Query("o211_distinct_labels", "SELECT lang, source, doc_id FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rnk FROM documents) w WHERE rnk = 1"),
-    Query("o214_l2_neighbours", f"WITH {NORM} SELECT anchor_id, vec_id, dist, rnk FROM (SELECT anchor_id, vec_id, dist, row_number() OVER (PARTITION BY anchor_id ORDER BY dist, vec_id) AS rnk FROM near) w WHERE rnk <= 5"),
-    Query("o217_cosine_threshold", f"WITH {NORM} SELECT anchor_id, vec_id, cosine FROM (SELECT anchor_id, vec_id, cosine, row_number() OVER (PARTITION BY anchor_id ORDER BY cosine DESC, vec_id) AS rnk FROM near) w WHERE rnk <= 10 AND cosine >= 0.1"),
     Query("o220_max_fusion", """
         WITH a AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'purchase' GROUP BY user_id)
         SELECT coalesce(a.user_id, b.user_id) AS user_id, greatest(coalesce(a.best, 0), coalesce(b.best, 0)) AS score FROM a FULL OUTER JOIN b ON a.user_id = b.user_id"""),
@@ -51,3 +53,19 @@ QUERIES = [
     Query("o426_traceable_fixes", """
         SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'untraceable' WHEN l.quality NOT IN (0, 1) OR l.toxic NOT IN (0, 1) THEN 'malformed' ELSE 'ok' END AS state FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id"""),
 ]
+
+
+def l2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 5, "l2", nulls=False)
+    return found.select(F.col("query_id").alias("anchor_id"), "vec_id", F.col("score").alias("dist"), "rnk")
+
+
+def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 10, "cosine", nulls=False)
+    return found.where("score >= 0.1").select(F.col("query_id").alias("anchor_id"), "vec_id", F.col("score").alias("cosine"))
+
+
+#: The same searches as one comparison of all pairs.
+L2 = f"WITH {NORM} SELECT anchor_id, vec_id, dist, rnk FROM (SELECT anchor_id, vec_id, dist, row_number() OVER (PARTITION BY anchor_id ORDER BY dist, vec_id) AS rnk FROM near) w WHERE rnk <= 5"
+THRESHOLD = f"WITH {NORM} SELECT anchor_id, vec_id, cosine FROM (SELECT anchor_id, vec_id, cosine, row_number() OVER (PARTITION BY anchor_id ORDER BY cosine DESC, vec_id) AS rnk FROM near) w WHERE rnk <= 10 AND cosine >= 0.1"
+BUILT = {"o214_l2_neighbours": (l2_neighbours, render(L2, 1)), "o217_cosine_threshold": (cosine_threshold, render(THRESHOLD, 1))}
