@@ -79,3 +79,11 @@ def test_thresholds_equal_a_loop(spark):
     got = {(r.k, r.i): (r.smoothed, r.threshold) for r in adaptive_threshold(df, "k", "i", "v", 0.45, 0.5, 0.9, 0.85, 0.95, 10, 20).collect()}
     assert all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want) and len(got) == 300
     assert smoothed(df, "k", "i", "v").columns == ["k", "i", "v", "smoothed"]
+
+
+def test_posteriors_pass_over_the_rows_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(recurrences, "kept", lambda df: written.append(df) or df.localCheckpoint())
+    outcomes = spark.createDataFrame([("k", i, "ab"[i % 2], i % 3 == 0, 0.5) for i in range(20)], "kind string, at long, strategy string, success boolean, quality double")
+    got = posteriors(outcomes, spark.createDataFrame([("k", "a"), ("k", "b")], "kind string, strategy string"))
+    assert got.count() == 40 and len(written) == 1

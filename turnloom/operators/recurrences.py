@@ -12,13 +12,19 @@ key. An empty table gives an empty result. Other columns pass through.
 """
 
 import math
+import sys
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.sql import kept
 
+# Executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Decay of posteriors of the strategies not chosen, decay of the running averages.
 POSTERIOR_DECAY, EMA_DECAY = 0.99, 0.95
 
@@ -31,62 +37,112 @@ def then(first, second):
     return a * c, b * c + d, clamp(low), clamp(high)
 
 
-def _steps(columns):
-    scale, shift, low, high = (c.to_pylist() for c in columns)
-    for a, b, lo, hi in zip(scale, shift, low, high):
-        yield 1.0 if a is None else a, 0.0 if b is None else b, -math.inf if lo is None else lo, math.inf if hi is None else hi
+def _columns(batch, names):
+    """The steps (scale, shift, low, high) of a batch as lists, nulls replaced by what they count as."""
+    out = []
+    for name, default in zip(names, (1.0, 0.0, -math.inf, math.inf)):
+        out.append(pc.fill_null(batch.column(name), default).to_numpy(zero_copy_only=False).tolist())
+    return out
+
+
+def _stretches(keys, parts):
+    """(key, part, first row, row after the last) of the stretches of rows that share both."""
+    first = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[first] or parts[i] != parts[first]:
+            yield keys[first], parts[first], first, i
+            first = i
+
+
+def composed(step, steps):
+    """``step`` followed by all of ``steps`` (see ``then``)."""
+    a, b, low, high = step
+    for c, d, floor, top in steps:
+        a, b = a * c, b * c + d
+        if c:
+            low, high = c * low + d, c * high + d
+        else:
+            low = high = d
+        low = low if low > floor else floor
+        low = low if low < top else top
+        high = high if high > floor else floor
+        high = high if high < top else top
+    return a, b, low, high
 
 
 def running(df: DataFrame, key: str, order: str, scale, shift, start=0.0, low=None, high=None, tie: str | None = None, out: str = "value") -> DataFrame:
     """``df`` with ``out``, the value after each row's step; ``start`` is the value before the first."""
-    by = [key, order] + ([tie] if tie else [])
-    step = {"_scale": scale, "_shift": shift, "_low": low, "_high": high}
-    rows = df.where(F.col(order).isNotNull()).withColumns({k: (F.lit(v) if not hasattr(v, "cast") else v).cast("double") for k, v in step.items()} | {"_start": (F.lit(start) if not hasattr(start, "cast") else start).cast("double")})
-    # Parts are ranges of rows in order; a part is written once, so both passes below see the same parts.
-    dealt = kept(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())).repartition("_part").sortWithinPartitions("_part", *by)
-    kind = df.schema[key].dataType.simpleString()
+    return running_all(df, key, order, {out: (scale, shift, start, low, high)}, tie)
 
-    def compose(batches):
-        current, held, many = None, None, False
-        for batch in batches:
-            keys, parts, starts = (batch.column(k).to_pylist() for k in (0, 1, 6))
-            for k, p, s, own in zip(keys, parts, starts, _steps(batch.columns[2:6])):
-                if not many or (k, p) != current[:2]:
-                    if many:
-                        yield emit(current, held)
-                    current, held, many = (k, p, s), own, True
-                else:
-                    held = then(held, own)
-        if many:
-            yield emit(current, held)
-
-    def emit(current, held):
-        return pa.RecordBatch.from_arrays([pa.array([current[0]], arrow_key), *[pa.array([x], t) for x, t in zip((current[1], *held, current[2]), (pa.int32(), *[pa.float64()] * 5))]], ["key", "part", "a", "b", "lo", "hi", "first"])
+
+def running_all(df: DataFrame, key: str, order: str, recurrences: dict, tie: str | None = None) -> DataFrame:
+    """``df`` with a column for each of ``recurrences`` (name: scale, shift, start, low, high), all in one pass over the ordered rows."""
+    by, outs, kind = [key, order] + ([tie] if tie else []), list(recurrences), df.schema[key].dataType.simpleString()
+    held, added = [[f"_{w}_{n}" for w in ("scale", "shift", "low", "high")] for n in range(len(outs))], {}
+    for n, (scale, shift, start, low, high) in enumerate(recurrences.values()):
+        added |= dict(zip([*held[n], f"_start_{n}"], (scale, shift, low, high, start)))
+    rows = df.where(F.col(order).isNotNull()).withColumns({k: (F.lit(v) if not hasattr(v, "cast") else v).cast("double") for k, v in added.items()})
+    # Parts are ranges of rows in order; a part is written once, so both passes below see the same parts.
+    dealt = kept(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartitionById(parts, "_part").sortWithinPartitions("_part", *by)
+    steps_of, firsts = [c for names in held for c in names], [f"_start_{n}" for n in range(len(outs))]
+    whole_schema = f"key {kind}, part int, " + ", ".join(f"a{n} double, b{n} double, lo{n} double, hi{n} double, first{n} double" for n in range(len(outs)))
+    names_of_whole = [part.split()[0] for part in whole_schema.split(", ")]
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_key = to_arrow_type(df.schema[key].dataType)
-    whole = dealt.select(key, "_part", "_scale", "_shift", "_low", "_high", "_start").mapInArrow(compose, f"key {kind}, part int, a double, b double, lo double, hi double, first double")
+
+    def compose(batches):
+        current, states = None, None
+        for batch in batches:
+            keys, parts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            steps = [_columns(batch, names) for names in held]
+            starts = [batch.column(name) for name in firsts]
+            for k, p, i, j in _stretches(keys, parts_):
+                if current is None or (k, p) != current:
+                    if current is not None:
+                        yield emit(current, states)
+                    current, states = (k, p), [((1.0, 0.0, -math.inf, math.inf), s[i].as_py()) for s in starts]
+                states = [(composed(state, zip(*(c[i:j] for c in own))), first) for (state, first), own in zip(states, steps)]
+        if current is not None:
+            yield emit(current, states)
+
+    def emit(current, states):
+        numbers = [x for state, first in states for x in (*state, first)]
+        return pa.RecordBatch.from_arrays([pa.array([current[0]], arrow_key), pa.array([current[1]], pa.int32()), *[pa.array([x], pa.float64()) for x in numbers]], names_of_whole)
+
+    whole = dealt.select(key, "_part", *steps_of, *firsts).mapInArrow(compose, whole_schema)
     # One row per key and partition: chained by an aggregate over the composed steps before each.
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    chained = whole.withColumns({"earlier": F.collect_list(F.struct("a", "b", "lo", "hi")).over(before), "begin": F.first("first").over(Window.partitionBy("key").orderBy("part"))})
-    begins = chained.select(F.col("key").alias("_key"), F.col("part").alias("_at"), F.aggregate("earlier", F.col("begin"), lambda x, s: F.least(s["hi"], F.greatest(s["lo"], s["a"] * x + s["b"]))).alias("_begin"))
-    names = [*df.columns, out]
-    schema = dealt.select(*df.columns).withColumn(out, F.lit(0.0)).schema
+    begins = whole.select(F.col("key").alias("_key"), F.col("part").alias("_at"), *[
+        F.aggregate(F.collect_list(F.struct(F.col(f"a{n}").alias("a"), F.col(f"b{n}").alias("b"), F.col(f"lo{n}").alias("lo"), F.col(f"hi{n}").alias("hi"))).over(before), F.first(f"first{n}").over(Window.partitionBy("key").orderBy("part")), lambda x, s: F.least(s["hi"], F.greatest(s["lo"], s["a"] * x + s["b"]))).alias(f"_begin_{n}")
+        for n in range(len(outs))
+    ])
+    names = [*df.columns, *outs]
+    schema = dealt.select(*df.columns).withColumns({o: F.lit(0.0) for o in outs}).schema
 
     def run(batches):
-        current, value, many = None, None, False
+        current, values = None, None
         for batch in batches:
-            out_values = []
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            for k, begin, (a, b, lo, hi) in zip(zip(batch.column(at[key]).to_pylist(), batch.column(at["_part"]).to_pylist()), batch.column(at["_begin"]).to_pylist(), _steps([batch.column(at[c]) for c in ("_scale", "_shift", "_low", "_high")])):
-                if not many or k != current:
-                    current, value, many = k, begin, True
-                value = min(hi, max(lo, a * value + b))
-                out_values.append(value)
-            yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in names[:-1]], pa.array(out_values, pa.float64())], names)
-
-    met = dealt.join(F.broadcast(begins), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).drop("_key", "_at").sortWithinPartitions("_part", *by)
+            found = [[] for _ in outs]
+            steps = [_columns(batch, own) for own in held]
+            for k, p, i, j in _stretches(batch.column(key).to_pylist(), batch.column("_part").to_pylist()):
+                if current is None or (k, p) != current:
+                    current, values = (k, p), [batch.column(f"_begin_{n}")[i].as_py() for n in range(len(outs))]
+                for n, (own, to) in enumerate(zip(steps, found)):
+                    value = values[n]
+                    for a, b, lo, hi in zip(*(c[i:j] for c in own)):
+                        value = a * value + b
+                        value = value if value > lo else lo
+                        value = value if value < hi else hi
+                        to.append(value)
+                    values[n] = value
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in df_columns], *[pa.array(v, pa.float64()) for v in found]], names)
+
+    df_columns = df.columns
+    met = dealt.join(F.broadcast(begins), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).drop("_key", "_at", *firsts).sortWithinPartitions("_part", *by)
     return met.mapInArrow(run, schema)
 
 
@@ -100,8 +156,9 @@ def posteriors(outcomes: DataFrame, strategies: DataFrame, kind: str = "kind", o
     known = outcomes.join(strategies.select(kind, "strategy"), [kind, "strategy"], "left_semi")
     arms = known.withColumnRenamed("strategy", "chosen").join(strategies.select(kind, "strategy"), kind).withColumn("_arm", F.concat_ws("\x1f", F.col(kind).cast("string"), "strategy"))
     mine = F.col("chosen") == F.col("strategy")
-    grown = running(arms, "_arm", order, F.when(mine, 1.0).otherwise(decay), F.when(mine & F.col("success"), F.col("quality")).otherwise(0.0), 1.0, low=F.when(~mine, 1.0), out="alpha")
-    both = running(grown, "_arm", order, F.when(mine, 1.0).otherwise(decay), F.when(mine & ~F.col("success"), 1 - F.col("quality")).otherwise(0.0), 1.0, low=F.when(~mine, 1.0), out="beta")
+    scale, low = F.when(mine, 1.0).otherwise(decay), F.when(~mine, 1.0)
+    arms = arms.select(kind, "strategy", order, "_arm", scale.alias("_kept"), low.alias("_least"), F.when(mine & F.col("success"), F.col("quality")).otherwise(0.0).alias("_won"), F.when(mine & ~F.col("success"), 1 - F.col("quality")).otherwise(0.0).alias("_lost"))
+    both = running_all(arms, "_arm", order, {out: (F.col("_kept"), F.col(grown), 1.0, F.col("_least"), None) for out, grown in (("alpha", "_won"), ("beta", "_lost"))})
     return both.select(kind, "strategy", order, "alpha", "beta")
 
 
