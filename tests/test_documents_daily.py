@@ -102,3 +102,11 @@ def test_daily_store(spark, tmp_path):
     daily.load(spark, str(tmp_path / "out"), str(tmp_path / "copy"), schema)
     columns = ["id", "ts", "text", "status", "day"]
     assert sorted(map(tuple, daily.opened(spark, str(tmp_path / "copy")).select(columns).collect()), key=repr) == sorted(map(tuple, daily.opened(spark, path).select(columns).collect()), key=repr)
+
+
+def test_rouge_l_turns_few_rows_at_a_time_into_python_strings(spark):
+    run = documents.rouge_l(F.col("x"), F.col("y"))
+    rows = [(["a"] * (i % 5), ["a", "b"]) for i in range(300)]
+    got = spark.createDataFrame(rows, "x array<string>, y array<string>").select(run.alias("v")).collect()
+    assert [r.v for r in got] == [2 * min(1, len(x)) / (len(x) + 2) if x else 0.0 for x, _ in rows]
+    assert 0 < documents.SLICE <= 256

@@ -7,6 +7,7 @@ small helpers, one row at a time and without state between rows.
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from turnloom.plans.metrics import PLAIN
 from turnloom.sql import render
 
 
+#: Rows of a batch whose tokens are Python strings at one time.
+SLICE = 64
+
+
 def balanced_end(text: str, start: int) -> int | None:
     """Place after the brace that closes the one at ``start``; braces in strings don't count. None where the text ends before."""
     depth, at, size = 0, start, len(text)
@@ -154,12 +159,13 @@ def lcs_length(left, right) -> int:
 def rouge_l(prediction: Column, reference: Column) -> Column:
     """F measure of the longest common subsequence of two token arrays; 0 where either has no tokens."""
 
-    @F.udf("double", useArrow=True)
-    def run(x, y):
-        if not x or not y:
-            return 0.0
-        n = lcs_length(x, y)
-        return 2.0 * n / (len(x) + len(y))
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for s in range(0, len(x), SLICE):
+            for a, b in zip(x.slice(s, SLICE).to_pylist(), y.slice(s, SLICE).to_pylist()):
+                out.append(2.0 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0)
+        return pa.array(out, pa.float64())
 
     return run(prediction, reference)
 
