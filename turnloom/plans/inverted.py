@@ -24,6 +24,8 @@ from turnloom.sql import kept
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings of a block, about; buckets of terms that the files are partitioned by.
 BLOCK, BUCKETS = 4096, 64
+#: Pairs of question and unit that a task of a search may hold, about; tasks of a search at most; pairs of question and block that are broadcast.
+PAIRS, PARTS, WIDE = 1 << 19, 4096, 1 << 22
 
 
 def tokens(text):
@@ -31,12 +33,22 @@ def tokens(text):
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
 
 
+def counts(units: DataFrame) -> DataFrame:
+    """id, size, term, tf of units (id, sorted toks): each row is counted for itself, so nothing is shuffled or held."""
+    tok = lambda i: F.get(F.col("toks"), i)
+    heads = F.filter(F.sequence(F.lit(0), F.size("toks")), lambda i: (i == 0) | (i == F.size("toks")) | (tok(i) != tok(i - 1)))
+    headed = units.withColumn("heads", heads)
+    runs = F.zip_with(F.slice("heads", 1, F.size("heads") - 1), F.slice("heads", 2, F.size("heads") - 1), lambda a, b: F.struct(tok(a).alias("term"), (b - a).cast("long").alias("tf")))
+    return headed.select("id", F.size("toks").alias("size"), F.inline(runs))
+
+
 def postings_of(units: DataFrame, id_col: str = "id", text_col: str = "text", status_col: str | None = "status") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, terms, totals) of the units."""
     live = units if status_col is None else units.where(F.coalesce(F.col(status_col), F.lit("")) != "ARCHIVED")
-    told = live.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") > 0)
-    counted = kept(told.select("id", "row", F.size("toks").alias("size"), F.explode("toks").alias("term")).groupBy("id", "row", "size", "term").agg(F.count("*").alias("tf")))
-    totals = kept(counted.select("row", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("mean_size")))
+    # Dealt before the texts are cut: a table of few row groups is few tasks otherwise.
+    told = kept(live.where(F.col(id_col).isNotNull()).select(id_col, text_col).repartition(id_col).select(F.col(id_col).cast("long").alias("id"), F.sort_array(tokens(F.col(text_col))).alias("toks")).where(F.size("toks") > 0))
+    counted = kept(counts(told))
+    totals = kept(told.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean_size")))
     df = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
     raw = kept(df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
@@ -66,27 +78,35 @@ def opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def search(index: tuple[DataFrame, DataFrame, DataFrame], questions: DataFrame, k: int = 10, id_col: str = "q", text_col: str = "text") -> DataFrame:
     """q, id, score, rnk: the k best units of each question."""
-    blocks, terms, _ = index
+    blocks, terms, totals = index
     asked = questions.select(F.col(id_col).alias("q"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     wanted = asked.join(terms, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("factor"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     wanted = kept(wanted)
+    parts = int(totals.crossJoin(wanted.select("q").distinct().agg(F.count("*").alias("asked"))).select(F.least(F.greatest(F.ceil(F.col("n") * F.col("asked") / PAIRS), F.lit(1)), F.lit(PARTS)).alias("parts")).first()["parts"])
     heads = kept(wanted.join(blocks.select("bucket", "term", "level", "split", "top"), ["bucket", "term"]).withColumn("most", F.col("factor") * F.col("top")))
     by_term = Window.partitionBy("q", "term").orderBy(F.desc("most"), "level", "split")
     first = heads.withColumn("nth", F.row_number().over(by_term)).where("nth = 1").select("q", "bucket", "term", "level", "split", "factor")
     bounds = kept(heads.groupBy("q", "term").agg(F.max("most").alias("most")).groupBy("q").agg(F.sum("most").alias("all"), F.min("most").alias("least")))
-    reached = scores(first, blocks).withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("nth") == k).select("q", F.col("score").alias("floor"))
+    reached = scores(first, blocks, parts).withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("nth") == k).select("q", F.col("score").alias("floor"))
     term_most = heads.groupBy("q", "term").agg(F.max("most").alias("term_most"))
     # A sum of negative weights bounds nothing, so such a question keeps all its blocks.
     lowest = F.when(F.col("least") > 0, F.coalesce(F.col("floor"), F.lit(float("-inf")))).otherwise(F.lit(float("-inf")))
     open_ = heads.join(term_most, ["q", "term"]).join(bounds, "q").join(reached, "q", "left").where(F.col("most") + F.col("all") - F.col("term_most") >= lowest - 1e-9)
-    ranked = scores(open_.select("q", "bucket", "term", "level", "split", "factor"), blocks).where("score > 0")
+    ranked = scores(open_.select("q", "bucket", "term", "level", "split", "factor"), blocks, parts).where("score > 0")
     return ranked.withColumn("score", F.round("score", 6)).withColumn("rnk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rnk") <= k)
 
 
-def scores(chosen: DataFrame, blocks: DataFrame) -> DataFrame:
-    """q, id, score over the chosen blocks (q, bucket, term, level, split, factor)."""
-    met = chosen.join(blocks.select("bucket", "term", "level", "split", "postings"), ["bucket", "term", "level", "split"])
-    return met.select("q", "factor", F.explode("postings").alias("p")).groupBy("q", F.col("p.id").alias("id")).agg(F.sum(F.col("factor") * F.col("p.part")).alias("score"))
+def scores(chosen: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
+    """q, id, score over the chosen blocks (q, bucket, term, level, split, factor).
+
+    Postings are dealt by their unit before they meet the questions, so the pairs of a task, which grow
+    much faster than the postings, are summed and ranked where they arise.
+    """
+    chosen, key = kept(chosen), ["bucket", "term", "level", "split"]
+    met = blocks.join(chosen.select(key).distinct(), key, "left_semi").select(*key, F.explode("postings").alias("p")).select(*key, "p.id", "p.part").repartition(parts, "id")
+    askers = chosen.groupBy(key).agg(F.collect_list(F.struct("q", "factor")).alias("askers"))
+    askers = F.broadcast(askers) if chosen.count() <= WIDE else askers
+    return met.join(askers, key).select("id", "part", F.inline("askers")).groupBy("q", "id").agg(F.sum(F.col("factor") * F.col("part")).alias("score"))
 
 
 def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
