@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from turnloom.sql import kept
 
+#: Paths that a task sorts, about.
+SORTED = 1 << 18
+
 
 def _steps(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """(node, other, predicate, relation_id) of every relation in both directions."""
@@ -61,7 +64,8 @@ def reasoned_paths(relations: DataFrame, entities: DataFrame, starts: DataFrame,
     def onward(front, hop):
         fit = steps.where(F.col("predicate") == predicates[hop - 1]) if hop <= len(predicates) else steps
         longer = front.join(fit, front["entity"] == fit["node"]).select("start", F.col("other").alias("entity"), F.concat("path", F.array("relation_id")).alias("path"))
-        return longer.groupBy("start", "entity").agg(F.min("path").alias("path"))
+        # The least of texts is found by sorting: paths are dealt first, so that what a task sorts doesn't grow with the graph.
+        return longer.repartition(-(-longer.count() // SORTED) or 1, "start", "entity").groupBy("start", "entity").agg(F.min("path").alias("path"))
 
     found = reduce(DataFrame.union, _walk(starts, hops, onward)).where("hops > 0")
     if target_type is not None:
