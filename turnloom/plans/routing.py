@@ -15,6 +15,9 @@ tables. Questions without a scope in the store, and empty tables, give empty con
 A question whose terms no component holds gets no repaired turns.
 """
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from turnloom.sql import Plan, Step, run_steps
@@ -87,6 +90,15 @@ QUESTION = Step("question_", "SELECT item_id AS q, item_id % (SELECT max(scope)
 
 TURN_QUESTION = Step("question_", "SELECT conv_id * 1000000 + turn AS q, conv_id AS scope, coalesce(text, '') AS text, '' AS question_type, '' AS hop_type, '' AS answerability, '' AS dataset, '' AS asker FROM conversations WHERE role = 'user'")
 
+#: Turns of the scopes that some question asks: no question meets another's, so Spark builds the store and the lines of these alone.
+ASKED_TURN = Step("asked_turn", "", spark="SELECT t.* FROM turn_ t LEFT SEMI JOIN (SELECT DISTINCT scope FROM question_) s ON s.scope = t.scope")
+
+
+def of_asked(steps) -> tuple:
+    """The steps, in Spark over the turns of asked scopes."""
+    return ASKED_TURN, *(replace(s, spark=re.sub(r"\bturn_\b", "asked_turn", s.of(0))) for s in steps)
+
+
 ASKED = (
     Step(
         "framed",
@@ -338,8 +350,8 @@ CONTEXT = (
 
 SEARCH_ALL = (Step("any_edge", "SELECT f.q, '' AS plan, 10 AS n_edges, e.scope, e.episode, e.l, e.r, e.source, e.edge_type, e.relation_text, e.made FROM framed f JOIN edge e ON e.scope = f.scope"), *edge_search("all", "any_edge"))
 OVER_STORE = (*ASKED, *SEARCH, *TURNS, TASK, *SCORED, *CHOICES, *REPAIR, *CONTEXT)
-STEPS = (*STORE, *OVER_STORE)
-OF_TABLES = (TURN, QUESTION, *STORE, *ASKED, *SEARCH, BASE, *TURNS, TASK, *SCORED, *CHOICES, *REPAIR, *CONTEXT, *SEARCH_ALL)
+STEPS = of_asked((*STORE, *OVER_STORE))
+OF_TABLES = (TURN, QUESTION, *of_asked((*STORE, *ASKED, *SEARCH, BASE, *TURNS, TASK, *SCORED, *CHOICES, *REPAIR, *CONTEXT, *SEARCH_ALL)))
 #: What a call of ``retrieve`` gives: one table per trace.
 TRACES = {
     "context": "SELECT q, method, family, route_name, risk, status, missing, context FROM answer_context WHERE method = '$method'",

@@ -153,20 +153,28 @@ class Query:
 
 @dataclass(frozen=True)
 class Step:
-    """A named table of a plan, made from the tables before it. ``keep``: used more than once, so worth keeping."""
+    """A named table of a plan, made from the tables before it.
+
+    ``keep``: used more than once, so worth keeping. ``spark``: what Spark runs in place of
+    ``text``, if anything; it may leave out rows that no query over these steps can meet.
+    """
 
     name: str
     text: str
     keep: bool = False
+    spark: str = ""
+
+    def of(self, dialect: int) -> str:
+        return self.text if dialect else self.spark or self.text
 
 
-def needed(steps, text: str) -> list[Step]:
-    """The steps that a text rests on, directly or through others, in order."""
+def needed(steps, text: str, dialect: int) -> list[Step]:
+    """The steps that a text rests on in a dialect, directly or through others, in order."""
     wanted, out = set(re.findall(r"\w+", text)), []
     for step in reversed(steps):
         if step.name in wanted:
             out.append(step)
-            wanted |= set(re.findall(r"\w+", step.text))
+            wanted |= set(re.findall(r"\w+", step.of(dialect)))
     return out[::-1]
 
 
@@ -203,9 +211,9 @@ def run_steps(spark: SparkSession, steps, sources: dict[str, DataFrame], texts:
             spark.catalog.dropTempView(view)
         return df
 
-    for step in needed(steps, " ".join(texts.values())):
+    for step in needed(steps, " ".join(texts.values()), 0):
         if step.name not in tables:
-            df = rows(render(step.text, 0))
+            df = rows(render(step.of(0), 0))
             tables[step.name] = kept(df) if step.keep else df
     return {name: rows(render(text, 0)) for name, text in texts.items()}
 
@@ -220,11 +228,11 @@ class Plan:
     oracle: bool = True
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        read = tables_in(" ".join([self.text, *[s.text for s in needed(self.steps, self.text)]]))
+        read = tables_in(" ".join([self.text, *[s.of(0) for s in needed(self.steps, self.text, 0)]]))
         return run_steps(spark, self.steps, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}, {"rows": self.text})["rows"]
 
     def chained(self) -> str:
-        return "WITH " + ",\n".join(f"{s.name} AS ({render(s.text, 1)})" for s in needed(self.steps, self.text)) + "\n" + render(self.text, 1)
+        return "WITH " + ",\n".join(f"{s.name} AS ({render(s.text, 1)})" for s in needed(self.steps, self.text, 1)) + "\n" + render(self.text, 1)
 
 
 def collect(*modules) -> tuple[dict[str, Callable], dict[str, str]]:
