@@ -15,24 +15,33 @@ from pyspark.sql import functions as F
 
 from turnloom.sql import kept
 
-#: Paths that a task sorts, about.
-SORTED = 1 << 18
+#: Paths that a task sorts, about; rows of a frontier that is broadcast at most.
+SORTED, NARROW = 1 << 18, 1 << 18
 
 
-def _steps(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """(node, other, predicate, relation_id) of every relation in both directions."""
-    ahead = relations.select(F.col("subject").alias("node"), F.col("object").alias("other"), "predicate", "relation_id").where("node is not null and other is not null")
-    back = ahead.where("node <> other").select(F.col("other").alias("node"), F.col("node").alias("other"), "predicate", "relation_id")
-    return ahead.union(back).join(entities.select(F.col("entity").alias("other")).distinct(), "other", "left_semi")
+def _steps(relations: DataFrame) -> DataFrame:
+    """(node, other, ...) of every relation in both directions."""
+    ahead = relations.withColumnsRenamed({"subject": "node", "object": "other"}).where("node is not null and other is not null")
+    return ahead.union(ahead.where("node <> other").withColumns({"node": F.col("other"), "other": F.col("node")}))
 
 
-def _walk(starts: DataFrame, hops: int, onward) -> list[DataFrame]:
-    """The frontiers of each hop; ``onward(frontier, hop)`` gives (start, entity, ...), one row for a pair."""
+def _onto(front: DataFrame, steps: DataFrame) -> DataFrame:
+    """A frontier with the steps from it; only where it is wide are the steps shuffled."""
+    narrow = front.limit(NARROW + 1).count() <= NARROW
+    return steps.join(F.broadcast(front) if narrow else front, F.col("node") == F.col("entity"))
+
+
+def _walk(starts: DataFrame, entities: DataFrame, hops: int, onward) -> list[DataFrame]:
+    """The frontiers of each hop; ``onward(frontier, hop)`` gives (start, entity, ...), one row for a pair.
+
+    Ends that are no entity are told from the pairs of a hop, not from all relations.
+    """
+    known = entities.select("entity")
     front = kept(starts.select(F.col("entity").alias("start"), "entity").where("entity is not null").distinct().withColumns({"hops": F.lit(0), "path": F.array().cast("array<string>")}))
     fronts = [front]
     for hop in range(1, hops + 1):
         met = reduce(DataFrame.union, (f.select("start", "entity") for f in fronts))
-        front = kept(onward(front, hop).join(met, ["start", "entity"], "left_anti").withColumn("hops", F.lit(hop)).select("start", "entity", "hops", "path"))
+        front = kept(onward(front, hop).join(known, "entity", "left_semi").join(met, ["start", "entity"], "left_anti").withColumn("hops", F.lit(hop)).select("start", "entity", "hops", "path"))
         if front.isEmpty():
             break
         fronts.append(front)
@@ -41,15 +50,14 @@ def _walk(starts: DataFrame, hops: int, onward) -> list[DataFrame]:
 
 def neighbours(relations: DataFrame, entities: DataFrame, starts: DataFrame, hops: int = 1, predicates=None) -> DataFrame:
     """(start, entity, hops): entities within ``hops`` of each start, with their distance, the start itself left out."""
-    steps = _steps(relations, entities)
     if predicates:
-        steps = steps.where(F.col("predicate").isin(*predicates))
-    steps = steps.select("node", "other").distinct()
+        relations = relations.where(F.col("predicate").isin(*predicates))
+    steps = _steps(relations.select("subject", "object"))
 
     def onward(front, hop):
-        return front.join(steps, front["entity"] == steps["node"]).select("start", F.col("other").alias("entity")).distinct().withColumn("path", F.array().cast("array<string>"))
+        return _onto(front, steps).select("start", F.col("other").alias("entity")).distinct().withColumn("path", F.array().cast("array<string>"))
 
-    return reduce(DataFrame.union, _walk(starts, hops, onward)).where("hops > 0").select("start", "entity", "hops")
+    return reduce(DataFrame.union, _walk(starts, entities, hops, onward)).where("hops > 0").select("start", "entity", "hops")
 
 
 def reasoned_paths(relations: DataFrame, entities: DataFrame, starts: DataFrame, target_type: str | None = None, predicates=(), hops: int = 3) -> DataFrame:
@@ -59,15 +67,15 @@ def reasoned_paths(relations: DataFrame, entities: DataFrame, starts: DataFrame,
     reached by the path that a breadth-first walk finds first when it takes relations in
     the order of their ids: of its shortest paths the least, id by id.
     """
-    steps = _steps(relations, entities)
+    steps = _steps(relations.select("subject", "object", "predicate", "relation_id"))
 
     def onward(front, hop):
         fit = steps.where(F.col("predicate") == predicates[hop - 1]) if hop <= len(predicates) else steps
-        longer = front.join(fit, front["entity"] == fit["node"]).select("start", F.col("other").alias("entity"), F.concat("path", F.array("relation_id")).alias("path"))
+        longer = _onto(front, fit).select("start", F.col("other").alias("entity"), F.concat("path", F.array("relation_id")).alias("path"))
         # The least of texts is found by sorting: paths are dealt first, so that what a task sorts doesn't grow with the graph.
         return longer.repartition(-(-longer.count() // SORTED) or 1, "start", "entity").groupBy("start", "entity").agg(F.min("path").alias("path"))
 
-    found = reduce(DataFrame.union, _walk(starts, hops, onward)).where("hops > 0")
+    found = reduce(DataFrame.union, _walk(starts, entities, hops, onward)).where("hops > 0")
     if target_type is not None:
         found = found.join(entities.where(F.col("entity_type") == target_type).select("entity").distinct(), "entity", "left_semi")
     return found.select("start", "entity", "hops", "path")
@@ -85,17 +93,17 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     relations = [df.select(F.concat_ws("|", F.lit(predicate), subject, object_).alias("relation_id"), subject.alias("subject"), F.lit(predicate).alias("predicate"), object_.alias("object")) for df, predicate, subject, object_ in links]
     kinds = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("part", "p_partkey")]
     entities = [table(t).select(named(f"{t} ", key).alias("entity"), F.lit(t).alias("entity_type")) for t, key in kinds]
-    return kept(reduce(DataFrame.union, relations)), reduce(DataFrame.union, entities)
+    return reduce(DataFrame.union, relations), reduce(DataFrame.union, entities)
 
 
 def near_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations, entities = trade_graph(spark, sf_dir)
-    return neighbours(relations, entities, entities.where("entity_type = 'nation'"), 2)
+    return neighbours(kept(relations.drop("relation_id")), entities, entities.where("entity_type = 'nation'"), 2)
 
 
 def parts_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations, entities = trade_graph(spark, sf_dir)
-    found = reasoned_paths(relations, entities, entities.where("entity_type = 'region'"), "part", ("contains", "home of"), 3)
+    found = reasoned_paths(kept(relations), entities, entities.where("entity_type = 'region'"), "part", ("contains", "home of"), 3)
     return found.select("start", "entity", "hops", F.array_join("path", " > ").alias("path"))
 
 
