@@ -219,6 +219,18 @@ def test_byte_bpe(docs, empty):
     assert bpe.encode_digests(empty, RANKS, PATTERN).count() == 0
 
 
+def test_byte_bpe_keeps_words_out_of_the_driver_and_of_rows(docs, monkeypatch):
+    def refused(self):
+        raise AssertionError("words came to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    rows = bpe.encoded(docs, RANKS, PATTERN)
+    assert rows.count() == docs.count()
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    outputs = [plan.p(i).output().mkString(",") for i in range(20) if plan.p(i) is not None]
+    assert outputs and not any("doc_id#" in x and "known#" in x for x in outputs)
+
+
 def test_byte_bpe_of_long_words(spark):
     import tiktoken
 

@@ -3,12 +3,13 @@
 Texts are cut by the tokenizer's pattern. A word is folded: its bytes are pieces, and
 step by step the pair of neighbours with the lowest rank is merged (the first of equal
 pairs), each step looking up only the two pairs that changed. Ranks are a literal: an
-array of small maps, by hash, whose keys are pairs of pieces. Decoding looks every id
+array of short texts, by hash, that list pairs of pieces. Decoding looks every id
 up in a literal array of pieces and concatenates them.
 
 At scale: words are counted over the whole corpus, and each of the WORDS most frequent
-distinct words (a fixed bound) is folded once; their ids become a second literal.
-Rarer words are folded where they stand. So the corpus is never shuffled by word
+distinct words (a fixed bound) is folded once; Spark gathers their ids into one
+array of small maps, by hash, which the words of every row are looked up in. Rarer words
+are folded where they stand. So the corpus is never shuffled by word
 position: only word counts are, which partial aggregation shrinks first.
 
 A word longer than BLOCK bytes is folded in blocks that overlap by half. Wherever two
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ._tables import picked, stash
 
-#: Most distinct words folded ahead; maps that the rank literal is dealt into, and those of the words; bytes folded as one.
-WORDS, RANK_BUCKETS, WORD_BUCKETS, BLOCK = 1 << 17, 1 << 15, 1 << 15, 256
+#: Most distinct words folded ahead; texts that the rank literal is dealt into, and maps of the words; bytes folded as one.
+WORDS, RANK_BUCKETS, WORD_BUCKETS, BLOCK = 3 << 18, 1 << 15, 1 << 18, 256
 #: No rank. Marks at both ends of a word; in place of a rank where a pair never merges; more pairs than any word has.
 NONE, MARK, NEVER, MOST = 2**31 - 1, "\u0800", "\U0010ffff", 2**30
 LATIN = "".join(map(chr, range(256)))
@@ -48,17 +49,21 @@ def read_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, lines)}
 
 
-def bucketed(entries: dict, buckets: int, kind: str):
-    """A literal array of maps; an entry lies in the map numbered by its key's hash, as ``looked_up`` computes it."""
-    maps = [{} for _ in range(buckets)]
-    for k, v in entries.items():
-        number = xxhash.xxh64_intdigest(k.encode(), seed=42)
-        maps[(number - (number >> 63 << 64)) % buckets][k] = v
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), f"array<map<string,{kind}>>")
+def bucketed(pairs: dict, buckets: int):
+    """A literal array of texts; ``,`` and a pair and its rank lie in the text numbered by the pair's hash, after NEVER."""
+    texts = [NEVER] * buckets
+    for pair, rank in pairs.items():
+        number = xxhash.xxh64_intdigest(pair.encode(), seed=42)
+        texts[(number - (number >> 63 << 64)) % buckets] += "," + pair + rank
+    return F.from_json(F.lit(json.dumps(texts, ensure_ascii=False)), "array<string>")
 
 
-def looked_up(literal, key, buckets):
-    return F.try_element_at(F.get(literal, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), key)
+def numbered(array, key, buckets):
+    return F.get(array, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def looked_up(maps, key, buckets):
+    return F.try_element_at(numbered(maps, key, buckets), key)
 
 
 def let(value, alike, body):
@@ -106,14 +111,15 @@ class Fold:
                 if left is not None and right is not None:
                     pair = character(left) + character(right)
                     pairs[pair] = character(rank)
-        self.pairs = bucketed(pairs, RANK_BUCKETS, "string")
+        self.pairs = bucketed(pairs, RANK_BUCKETS)
         sizes = [0] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             sizes[rank] = len(piece)
         self.sizes = F.from_json(F.lit(json.dumps(sizes)), "array<int>")
 
     def ranked(self, pair):
-        return F.concat(F.coalesce(looked_up(self.pairs, pair, RANK_BUCKETS), F.lit(NEVER)), pair)
+        # What follows the pair in its text; the whole text, which begins with NEVER, if the pair is not in it.
+        return F.concat(F.substring(F.call_function("substring_index", numbered(self.pairs, pair, RANK_BUCKETS), F.concat(F.lit(","), pair), F.lit(-1)), 1, 1), pair)
 
     def step(self, pairs, _):
         def merge(low):
@@ -190,6 +196,14 @@ def frequent_words(texts: DataFrame, limit: int = WORDS) -> DataFrame:
     return chosen.select("word")
 
 
+def gathered(table: DataFrame, buckets: int) -> DataFrame:
+    """One row and column: the ids of a table of (word, ids) as an array of maps, as ``looked_up`` reads it."""
+    entries = table.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), F.struct("word", "ids").alias("entry"))
+    every = entries.unionByName(table.sparkSession.range(buckets).select(F.col("id").alias("bucket")), allowMissingColumns=True)
+    maps = every.groupBy("bucket").agg(F.collect_list("entry").alias("entries"))
+    return maps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "entries"))), lambda x: F.map_from_entries(x["entries"])).alias("known"))
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids array<int>, decoded binary."""
     ranks = read_ranks(ranks_path)
@@ -197,16 +211,16 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     cut = "(?U)" + pattern
     texts = picked(docs, id_col, text_col).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(cut), F.lit(0)).alias("words"))
     chosen = frequent_words(texts)
-    table = chosen.select("word", fold(F.col("word")).alias("ids")).toArrow()
-    known = bucketed(dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True)), WORD_BUCKETS, "array<int>")
-    del table
+    table = gathered(chosen.select("word", fold(F.col("word")).alias("ids")), WORD_BUCKETS)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     vocabulary = F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False)), "array<string>")
-    ids = F.flatten(F.transform("words", lambda w: F.coalesce(looked_up(known, w, WORD_BUCKETS), fold(w))))
+    # A subquery may not stand inside transform as written. It is named once, so the optimizer puts it there and no row holds it.
+    held = texts.select("doc_id", "words", table.scalar().alias("known"))
+    ids = F.flatten(F.transform("words", lambda w: F.coalesce(looked_up(F.col("known"), w, WORD_BUCKETS), fold(w))))
     decoded = F.encode(F.array_join(F.transform("ids", lambda i: F.get(vocabulary, i)), ""), "ISO-8859-1")
-    return texts.select("doc_id", ids.alias("ids")).withColumn("decoded", decoded)
+    return held.select("doc_id", ids.alias("ids")).withColumn("decoded", decoded)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
